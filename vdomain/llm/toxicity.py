@@ -24,7 +24,7 @@ from .common import small_batches, texts_of
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 56
 #: Labelled rows that the network is fitted on, at most: those with the smallest hash of their id, by label.
-MOST_TOXIC, MOST_CLEAN = 800, 1200
+MOST_TOXIC, MOST_CLEAN = 800, 1600
 #: Labelled texts that must hold a word for it to have a vector of its own; buckets of trigrams.
 LEAST_TEXTS, TRIGRAMS = 5, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, EPOCHS, BATCH = 6, 6, 8, 8, 128
@@ -86,6 +86,10 @@ class Network:
         """1/2 for the two gates' inputs: a gate is (1 + tanh(x / 2)) / 2."""
         return np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN)
 
+    def projections(self, x: np.ndarray) -> np.ndarray:
+        """Input projections by direction of words' vectors, gates halved."""
+        return (np.matmul(x[None].astype(np.float32), self.p["W"]) + self.p["b"][:, None]) * self.halves
+
     def ids(self, found: list[bytes]) -> np.ndarray:
         """Rows of the two tables of input projections, gates halved; row 0 is padding."""
         cache = self.cache
@@ -98,7 +102,7 @@ class Network:
             words = list(new)
             at = len(cache) + 1
             x = self.vectors([bare(w) for w in words])
-            self.table[:, at : at + len(words)] = (np.matmul(x[None], self.p["W"]) + self.p["b"][:, None]) * self.halves
+            self.table[:, at : at + len(words)] = self.projections(x)
             cache.update(zip(words, range(at, at + len(words))))
         return np.fromiter(map(cache.__getitem__, found), np.int32, len(found))
 
@@ -156,7 +160,7 @@ class Network:
         de = k["w"] * (dw - (k["w"] * dw).sum(axis=0))
         g["av"] = np.einsum("tb,tbh->h", de, k["u"])
         du = de[:, :, None] * p["av"] * (1 - k["u"] ** 2)
-        g["A"], g["ab"] = np.einsum("tbi,tbj->ij", k["both"], du), du.sum(axis=(0, 1))
+        g["A"], g["ab"] = k["both"].reshape(-1, 2 * H).T @ du.reshape(-1, du.shape[2]), du.sum(axis=(0, 1))
         dboth = dboth + du @ p["A"].T
         dx = np.zeros_like(projected)
         g["U"] = np.zeros_like(p["U"])
@@ -177,35 +181,37 @@ class Network:
         loss = float((weight * np.logaddexp(0, np.where(label > 0, -s, s))).sum() / weight.sum())
         return g, dx, loss
 
-    def fast_logits(self, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """As logits() without what training needs, from rows of the two directions' tables (time, window)."""
+    def fast_logits(self, table: np.ndarray, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """As logits() without what training needs, from rows (time, window) of a table as projections() makes them."""
         (T, B), H = rows.shape, HIDDEN
         p, full = self.p, int(length.min()) == T
-        U = p["U"] * self.halves
-        h, x, a = np.zeros((2, B, H), np.float32), np.empty((2, B, 3 * H), np.float32), np.empty((2, B, 3 * H), np.float32)
-        hs = np.empty((T, B, 2 * H), np.float32)
+        U = np.ascontiguousarray((p["U"] * self.halves).reshape(2, H, 3, H).transpose(2, 0, 1, 3))
+        inputs = [np.ascontiguousarray(table[d][rows].reshape(T, B, 3, H).transpose(0, 2, 1, 3)) for d in (0, 1)]
+        h, a = np.zeros((2, B, H), np.float32), np.empty((3, 2, B, H), np.float32)
+        hs = np.empty((2, T, B, H), np.float32)
         alive = np.arange(T)[:, None] < length[None, :]
-        r, z, n = a[:, :, :H], a[:, :, H : 2 * H], x[:, :, 2 * H :]
+        r, z, n = a
+        x = np.empty((3, 2, B, H), np.float32)
         for t in range(T):
-            np.take(self.table[0], rows[t], axis=0, out=x[0])
-            np.take(self.table[1], rows[T - 1 - t], axis=0, out=x[1])
+            x[:, 0], x[:, 1] = inputs[0][t], inputs[1][T - 1 - t]
             np.matmul(h, U, out=a)
-            g = a[:, :, : 2 * H]
-            g += x[:, :, : 2 * H]
+            g = a[:2]
+            g += x[:2]
             np.tanh(g, out=g)
-            g += 1  # twice each gate
-            r *= a[:, :, 2 * H :]
-            r *= 0.5
-            n += r
+            g += 1
+            g *= 0.5
+            n *= r
+            n += x[2]
             np.tanh(n, out=n)
-            z *= 0.5
             h -= n
             h *= z
             h += n
             if not full:
                 h *= np.stack((alive[t], alive[T - 1 - t]))[:, :, None]
-            hs[t, :, :H], hs[T - 1 - t, :, H:] = h[0], h[1]
-        u = hs.reshape(-1, 2 * H) @ p["A"]
+            hs[0, t], hs[1, T - 1 - t] = h[0], h[1]
+        fwd, bwd = hs[0].reshape(-1, H), hs[1].reshape(-1, H)
+        u = fwd @ p["A"][:H]
+        u += bwd @ p["A"][H:]
         u += p["ab"]
         np.tanh(u, out=u)
         e = (u @ p["av"]).reshape(T, B)
@@ -213,23 +219,32 @@ class Network:
             e[~alive] = -1e9
         e -= e.max(axis=0)
         np.exp(e, out=e)
-        return np.einsum("tb,tb->b", e, (hs.reshape(-1, 2 * H) @ p["o"]).reshape(T, B)) / e.sum(axis=0) + p["ob"]
+        out = (fwd @ p["o"][:H] + bwd @ p["o"][H:]).reshape(T, B)
+        out *= e
+        return out.sum(axis=0) / e.sum(axis=0) + p["ob"]
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the probability of its highest window; a text without words gets the network's answer to nothing."""
-        words = [tokens(t) for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def highest(self, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of every window of texts of these sizes, whose words are rows of the table, and the text of each window."""
         first = np.cumsum(sizes) - sizes
-        ids = self.ids([w for ws in words for w in ws])
         text, start, length = self.windows(sizes)
-        best = np.full(len(texts), -np.inf, np.float32)
         order = np.argsort(length, kind="stable")
         at = first[text] + start
+        out = np.empty(len(text), np.float32)
         for lo in range(0, len(order), SIDE_BY_SIDE):
             k = order[lo : lo + SIDE_BY_SIDE]
             step = np.arange(int(length[k].max()))[:, None]
             rows = np.where(step < length[k], ids[np.minimum(at[k] + step, len(ids) - 1)], 0)
-            np.maximum.at(best, text[k], self.fast_logits(rows, length[k]))
+            out[k] = self.fast_logits(table, rows, length[k])
+        return out, text
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the probability of its highest window; a text without words gets the network's answer to nothing."""
+        words = [tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.ids([w for ws in words for w in ws])
+        best = np.full(len(texts), -np.inf, np.float32)
+        logit, text = self.highest(self.table, ids, sizes)
+        np.maximum.at(best, text, logit)
         best = np.where(np.isinf(best), self.p["ob"][0], best).astype(np.float64)
         return 0.5 + 0.5 * np.tanh(0.5 * best)
 
@@ -296,8 +311,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         if epoch == 0:  # before any training: the window with the highest log-odds
             top = np.concatenate([(np.maximum(x[rows_of(k), 0], 0).sum(axis=0)) for k in np.array_split(np.arange(len(text)), len(text) // 4096 + 1)])
         else:
-            proj = (np.einsum("nd,kdh->nkh", x, p["W"]) + p["b"]).astype(np.float32)
-            top = np.concatenate([net.logits(proj[rows_of(k)], length[k]) for k in np.array_split(np.arange(len(text)), len(text) // 2048 + 1)])
+            top, _ = net.highest(net.projections(x), ids, sizes)
         order = np.lexsort((-top, text))
         rank = np.arange(len(order)) - np.repeat(np.flatnonzero(np.concatenate(([True], np.diff(text[order]) > 0))), np.unique(text, return_counts=True)[1])
         chosen = order[rank < 1]
@@ -313,18 +327,19 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
             xs = x[used] if lo == 0 else inputs_of(p, used, word_rows, tg, begin, tg_size)
             proj = (np.einsum("nd,kdh->nkh", xs, p["W"]) + p["b"]).astype(np.float32)
             g, dx, _ = net.gradients(proj[at], length[k], y, np.where(y > 0, 1.5, 1.0).astype(np.float32))
-            dproj = np.zeros((len(used), 2 * 3 * H), np.float32)
-            np.add.at(dproj, at.ravel(), dx.reshape(-1, 6 * H))
-            dproj = dproj.reshape(len(used), 2, 3 * H)
-            g["W"], g["b"] = np.einsum("nd,nkh->kdh", xs, dproj), dproj.sum(axis=0)
-            dxs = np.einsum("nkh,kdh->nd", dproj, p["W"])
+            by_word = np.argsort(at.ravel(), kind="stable")
+            dproj = np.add.reduceat(dx.reshape(-1, 6 * H)[by_word], np.searchsorted(at.ravel()[by_word], np.arange(len(used)))).reshape(len(used), 2, 3 * H)
+            g["W"], g["b"] = np.matmul(xs.T[None], dproj.transpose(1, 0, 2)), dproj.sum(axis=0)
+            dxs = np.matmul(dproj.transpose(1, 0, 2), p["W"].transpose(0, 2, 1)).sum(axis=0)
             g["Ew"] = np.zeros_like(p["Ew"])
             np.add.at(g["Ew"], word_rows[used], dxs[:, :WORD_DIM])
             g["Ew"][0] = 0
             g["Ec"] = np.zeros_like(p["Ec"])
             real = used[used > 0] - 1
             which, flat = spread(begin, tg_size, real)
-            np.add.at(g["Ec"], tg[flat], (dxs[used > 0, WORD_DIM:] / tg_size[real][:, None])[which])
+            share = (dxs[used > 0, WORD_DIM:] / tg_size[real][:, None])[which]
+            for c in range(CHAR_DIM):
+                g["Ec"][:, c] = np.bincount(tg[flat], share[:, c], TRIGRAMS)
             step_n += 1
             for name, v in p.items():
                 m1, m2 = moments[name]
@@ -348,9 +363,8 @@ def inputs_of(p: dict[str, np.ndarray], used: np.ndarray, word_rows: np.ndarray,
     chars = np.zeros((len(used), CHAR_DIM), np.float32)
     real = used[used > 0] - 1
     which, flat = spread(begin, size, real)
-    sums = np.zeros((len(real), CHAR_DIM), np.float32)
-    np.add.at(sums, which, p["Ec"][tg[flat]])
-    chars[used > 0] = sums / size[real][:, None]
+    if len(real):
+        chars[used > 0] = np.add.reduceat(p["Ec"][tg[flat]], np.cumsum(size[real]) - size[real], axis=0) / size[real][:, None]
     return np.concatenate((p["Ew"][word_rows[used]], chars), axis=1)
 
 
