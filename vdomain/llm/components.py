@@ -15,6 +15,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     join with one row per node on the other side, which adaptive execution can split. Each round is a
     table in the shared folder. Self-links only name a node.
     """
+    edges = scratch.table(edges.select("a", "b").distinct())  # what finds links runs once
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = digest(e, "u", "v")

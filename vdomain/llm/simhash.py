@@ -10,7 +10,7 @@ radius plus that threshold; of any two linked fingerprints one meets the other a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +59,11 @@ def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "fp", sh
     return docs.mapInArrow(run, schema)
 
 
-@cache
 def coset_patterns(within: int) -> tuple[np.ndarray, np.ndarray]:
     """For each syndrome the error patterns of weight at most `within`, lightest first: (first index by syndrome, patterns)."""
-    weights = np.bitwise_count(np.arange(1 << BITS, dtype=np.uint32))
-    patterns = np.flatnonzero(weights <= within).astype(np.uint32)
+    patterns = np.array([sum(1 << b for b in bits) for w in range(within + 1) for bits in combinations(range(BITS), w)], np.uint32)
     s = syndrome(patterns)
-    order = np.lexsort((weights[patterns], s))
+    order = np.argsort(s, kind="stable")
     return np.searchsorted(s[order], np.arange((1 << 11) + 1)), patterns[order]
 
 
@@ -77,9 +75,9 @@ def syndrome(values: np.ndarray) -> np.ndarray:
     return r
 
 
-def anchors_of(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_of(fps: np.ndarray, cosets: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By segment: index of the fingerprint, anchor, and whether that is its home."""
-    first, patterns = coset_patterns(RADIUS + distance // 2)
+    first, patterns = cosets
     for k, shift in enumerate(SEGMENTS):
         v = ((fps >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
         s = syndrome(v)
@@ -108,9 +106,10 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
         raise ValueError("two segments cover distances up to 3")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosets = coset_patterns(RADIUS + distance // 2)
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for which, anchor, home in anchors_of(fps, distance):
+            for which, anchor, home in anchors_of(fps, cosets):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(signed(fps[which])), pa.array(home)], ["anchor", "fp", "home"])
 
     rows = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")

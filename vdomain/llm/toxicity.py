@@ -66,9 +66,6 @@ class Network:
 
     MOST_WORDS = 400_000
 
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "p": self.p, "window": self.window, "stride": self.stride, "cache": {}, "table": None}
-
     # --- inputs -----------------------------------------------------------------------------------
 
     def word_row(self, word: bytes) -> int:
@@ -394,10 +391,10 @@ def scored(docs: DataFrame, network: Network, text: str = "text", column: str =
     spark = docs.sparkSession
     small_batches(spark)
     keep = docs.columns if keep is None else keep
-    model = spark.sparkContext.broadcast(network)  # a few MB, bounded by the sample
+    model = spark.sparkContext.broadcast((network.vocabulary, network.p))  # a few MB, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
+        net = Network(*model.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(net.score(texts_of(b.column(text))))], [*keep, column])
 
