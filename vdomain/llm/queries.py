@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substrings, toxicity
+from . import mixing, packing, simhash, substrings, toxicity, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_all(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_substring_dedup, op5_mixing, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_packing, op3_substring_dedup, op5_mixing, op9_simhash, op10_toxicity)}
 
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE}
