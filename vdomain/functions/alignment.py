@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from ..kernel.sw import local_identity, local_score
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def sw_score(query: pa.Array, target: pa.Array) -> pa.Array:
     """Score of the best local alignment; null if either is null."""
     return pa.array([None if q is None or t is None else local_score(q, t) for q, t in zip(query.to_pylist(), target.to_pylist())], pa.int64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def sw_identity(query: pa.Array, target: pa.Array) -> pa.Array:
     """Matches over columns of the best local alignment; null if either is null."""
     return pa.array([None if q is None or t is None else float(local_identity(q, t)[0]) for q, t in zip(query.to_pylist(), target.to_pylist())], pa.float64())

@@ -100,11 +100,12 @@ def local_identity(query: str, target: str) -> tuple[float, int]:
     a, b = _codes(query), _codes(target)
     n, m = len(a), len(b)
     h, e, f = np.zeros((n + 1, m + 1), int), np.full((n + 1, m + 1), -10_000), np.full((n + 1, m + 1), -10_000)
+    steps = EXTEND * np.arange(m + 1)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i, j] = max(e[i, j - 1] - EXTEND, h[i, j - 1] - OPEN)
-            f[i, j] = max(f[i - 1, j] - EXTEND, h[i - 1, j] - OPEN)
-            h[i, j] = max(0, h[i - 1, j - 1] + MATRIX[a[i - 1], b[j - 1]], e[i, j], f[i, j])
+        f[i, 1:] = np.maximum(f[i - 1, 1:] - EXTEND, h[i - 1, 1:] - OPEN)
+        h[i, 1:] = np.maximum(np.maximum(h[i - 1, :-1] + MATRIX[a[i - 1], b], f[i, 1:]), 0)
+        e[i, 1:] = np.maximum.accumulate(h[i] + steps)[:-1] - OPEN + EXTEND - steps[1:]
+        h[i] = np.maximum(h[i], e[i])
     if n == 0 or m == 0 or h.max() == 0:
         return 0.0, 0
     i, j = np.unravel_index(h.argmax(), h.shape)
