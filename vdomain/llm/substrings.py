@@ -26,7 +26,7 @@ from .common import Scratch, WordHashes, grouped, partitions, small_batches, tex
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that a bucket should hold, and the most buckets; beyond those, buckets grow.
-PER_BUCKET, MOST_BUCKETS = 400_000, 1 << 16
+PER_BUCKET, MOST_BUCKETS = 2_000_000, 1 << 16
 #: Bytes of text that a map task gathers before it sends blobs.
 FLUSH_WORDS = 4_000_000
 
@@ -158,8 +158,8 @@ def _by_bucket(sent: DataFrame) -> DataFrame:
     return sent.select("bucket", "blob").repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
-def _repeated(sent: DataFrame) -> DataFrame:
-    """Blobs of (half hash, content) to the contents that hold a repeated half, with the hashes: (content, halves binary)."""
+def _repeated(sent: DataFrame, buckets: int) -> DataFrame:
+    """Blobs of (half hash, content) to the contents that hold a repeated half, with the hashes: (key, values binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in grouped(batches, "bucket"):
@@ -175,19 +175,35 @@ def _repeated(sent: DataFrame) -> DataFrame:
             many = np.bincount(group, first) > 1
             many |= np.bincount(group, twice) > 0
             keep = first & many[group]
-            h, c = h[keep], c[keep]
-            if not len(h):
-                continue
-            order = np.lexsort((h, c))
-            h, c = h[order], c[order]
-            cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True])))
-            yield pa.RecordBatch.from_arrays([pa.array(c[cuts[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["content", "halves"])
+            if keep.any():
+                yield by_document(c[keep], h[keep], buckets)
 
-    return _by_bucket(sent).mapInArrow(run, "content long, halves binary")
+    return _merged(_by_bucket(sent).mapInArrow(run, "bucket int, blob binary"))
+
+
+def by_document(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Blobs of (key, value) by bucket of the key."""
+    return blobs(keys.view(np.uint64) << np.uint64(1), buckets, [keys, values])
+
+
+def _merged(sent: DataFrame) -> DataFrame:
+    """Blobs of by_document() to one row per key: (key, values binary), values in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, "bucket"):
+            k, v = (np.concatenate(x) for x in zip(*(unblob(x.as_py(), 2) for x in t.column("blob"))))
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+            for lo in range(0, len(cuts) - 1, 2000):
+                own = cuts[lo : lo + 2001]
+                yield pa.RecordBatch.from_arrays([pa.array(k[own[:-1]]), pa.array([v[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["key", "values"])
+
+    return _by_bucket(sent).mapInArrow(run, "key long, values binary")
 
 
 def _extended(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Documents with the halves that repeat, to places that this task found to repeat (dk, places) and blobs of the rest."""
+    """Documents with the halves that repeat, to blobs: `local` ones of (dk, run) that this task found to repeat, others of windows that it can't judge alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -199,30 +215,28 @@ def _extended(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 return
             h, i, k, at = (np.concatenate(x) for x in zip(*held))
             lose, win = earliest(h, i, k, at)
-            yield from removed(k[lose], at[lose])
-            b = blobs(h[win].view(np.uint64), buckets, [h[win], i[win], k[win], at[win]])
-            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary()), b.column("bucket"), b.column("blob")], EXTENDED)
+            for b, local in ((by_document(*removed(k[lose], at[lose]), buckets), True), (blobs(h[win].view(np.uint64), buckets, [h[win], i[win], k[win], at[win]]), False)):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, local))], ["bucket", "blob", "local"])
 
         for b in batches:
-            for i, k, t, blob in zip(b.column("id").to_pylist(), b.column("dk").to_pylist(), texts_of(b.column("text")), b.column("halves").to_pylist()):
+            for i, k, t, alive in zip(b.column("id").to_pylist(), b.column("dk").to_pylist(), texts_of(b.column("text")), b.column("halves").to_pylist()):
                 w = words.of(t.split())
                 at, halves = minimizers(w, window)
-                alive = np.flatnonzero(np.isin(halves[at], np.frombuffer(b"".join(blob), np.uint64)))
-                if len(alive):
-                    h = _mix(window_hashes(w, window))[alive].view(np.int64)
-                    held.append((h, np.full(len(h), NO_ID if i is None else i, np.int64), np.full(len(h), k, np.int64), alive))
+                found = np.flatnonzero(np.isin(halves[at], np.frombuffer(alive, np.uint64)))
+                if len(found):
+                    h = _mix(window_hashes(w, window))[found].view(np.int64)
+                    held.append((h, np.full(len(h), NO_ID if i is None else i, np.int64), np.full(len(h), k, np.int64), found))
                     n += len(h)
             if n >= FLUSH_WORDS:
                 yield from flush()
                 held, n = [], 0
         yield from flush()
 
-    return texts.mapInArrow(run, "dk long, places binary, bucket int, blob binary")
+    return texts.mapInArrow(run, "bucket int, blob binary, local boolean")
 
 
 #: Documents without an id come after all others.
 NO_ID = np.iinfo(np.int64).max
-EXTENDED = ["dk", "places", "bucket", "blob"]
 
 
 def earliest(h: np.ndarray, i: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,42 +247,35 @@ def earliest(h: np.ndarray, i: np.ndarray, k: np.ndarray, at: np.ndarray) -> tup
     return order[~first], order[first]
 
 
-def removed(k: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Places by document key, as pairs (first, last) of runs of consecutive windows."""
-    if not len(k):
-        return
+def removed(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive windows: document key, and first window << 32 | last window."""
     order = np.lexsort((at, k))
     k, at = k[order], at[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))[: len(k)]
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(k)) - 1
-    runs = np.stack((at[starts], at[ends]), axis=1).astype(np.int32)
-    ks = k[starts]
-    cuts = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1], [True])))
-    yield pa.RecordBatch.from_arrays([pa.array(ks[cuts[:-1]]), pa.array([runs[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.nulls(len(cuts) - 1, pa.int32()), pa.nulls(len(cuts) - 1, pa.binary())], EXTENDED)
+    ends = np.append(starts[1:], len(k))[: len(starts)] - 1
+    return k[starts], at[starts] << 32 | at[ends]
 
 
-def _losers(sent: DataFrame) -> DataFrame:
-    """Blobs of extended windows to the places that aren't the earliest: (dk, places)."""
+def _losers(sent: DataFrame, buckets: int) -> DataFrame:
+    """Blobs of extended windows to blobs of (dk, run) of the windows that aren't the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in grouped(batches, "bucket"):
-            parts = [unblob(x.as_py(), 4) for x in t.column("blob")]
-            h, i, k, at = (np.concatenate(x) for x in zip(*parts))
+            h, i, k, at = (np.concatenate(x) for x in zip(*(unblob(x.as_py(), 4) for x in t.column("blob"))))
             lose, _ = earliest(h, i, k, at)
-            for b in removed(k[lose], at[lose]):
-                yield b.select(["dk", "places"])
+            if len(lose):
+                yield by_document(*removed(k[lose], at[lose]), buckets)
 
-    return _by_bucket(sent).mapInArrow(run, "dk long, places binary")
+    return _by_bucket(sent).mapInArrow(run, "bucket int, blob binary")
 
 
-def cover(n_words: int, places: list[bytes], window: int) -> np.ndarray:
+def cover(n_words: int, places: bytes, window: int) -> np.ndarray:
     """Whether each word lies in a removed window."""
     steps = np.zeros(n_words + 1, np.int64)
-    for p in places:
-        runs = np.frombuffer(p, np.int32).reshape(-1, 2)
-        np.add.at(steps, runs[:, 0], 1)
-        np.add.at(steps, runs[:, 1] + window, -1)
+    runs = np.frombuffer(places, np.int64)
+    np.add.at(steps, runs >> 32, 1)
+    np.add.at(steps, (runs & 0xFFFFFFFF) + window, -1)
     return np.cumsum(steps)[:n_words] > 0
 
 
@@ -290,13 +297,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = survey.where("bucket is null")
     # exact copies: all but the first lose every word, if they hold a window at all
     first = rows.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "dk")).alias("f")).select("content", F.col("f.dk").alias("first_dk"))
-    halves = _repeated(survey.where("bucket is not null"))
-    asked = scratch.table(halves.join(first, "content").select(F.col("first_dk").alias("dk"), "halves"))
-    asked = asked.groupBy("dk").agg(F.collect_list("halves").alias("halves"))
+    halves = _repeated(survey.where("bucket is not null"), buckets)
+    asked = scratch.table(halves.join(first, halves.key == first.content).select(F.col("first_dk").alias("dk"), F.col("values").alias("halves")))
     keyed = with_key(docs, id_col, text)
     sent = scratch.table(_extended(keyed.select(F.col(id_col).cast("long").alias("id"), "dk", F.col(text).alias("text")).dropDuplicates(["dk"]).join(asked, "dk"), window, buckets))
-    places = sent.where("dk is not null").select("dk", "places").union(_losers(sent.where("bucket is not null")))
-    places = scratch.table(places.groupBy("dk").agg(F.collect_list("places").alias("places")))
+    places = scratch.table(_merged(sent.where("local").select("bucket", "blob").union(_losers(sent.where("not local"), buckets))).select(F.col("key").alias("dk"), F.col("values").alias("places")), asked)
     state = rows.dropDuplicates(["dk"]).join(first, "content").select("dk", "n_words", "sha", (F.col("dk") != F.col("first_dk")).alias("copy")).join(places, "dk", "left")
     state = scratch.table(state, sent)
 
