@@ -89,32 +89,33 @@ def runs(page: str) -> Iterator[Run]:
             block += 1
         if m["end"]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            yield Run(block, "tag " + name, marks if k is None else stack[k][1], None, label)
             if k is not None:
                 pop_to(k)
-        else:
-            if name in BLOCK:
-                ends = {"p"} | set(CLOSES.get(name, "").split())
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in CONTAINER or stack[k][0] in ("ul", "ol", "table", "dl"):
-                        break
-            if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-                own = list(marks)
-                inside = any(n in ("article", "main") for n, _ in stack)
-                if name in MARKED or name == "header" and not inside:
-                    own.append(name)
-                if name in ("article", "main"):
-                    own.append(name)
-                for a, v in ATTR.findall(m["attrs"]) if m["attrs"] else ():
-                    a, v = a.lower(), v.strip("\"'")
-                    if a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and re.search(r"display\s*:\s*none", v):
-                        own.append("hidden")
-                    elif a in ("class", "id", "role"):
-                        own += [f".{w}" for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower()) if w]
-                stack.append((name, tuple(own)))
-                marks = stack[-1][1]
+            continue
+        if name in BLOCK:
+            ends = {"p"} | set(CLOSES.get(name, "").split())
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
+                    pop_to(k)
+                    break
+                if stack[k][0] in CONTAINER or stack[k][0] in ("ul", "ol", "table", "dl"):
+                    break
+        if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+            own = list(marks)
+            inside = any(n in ("article", "main") for n, _ in stack)
+            if name in MARKED or name == "header" and not inside:
+                own.append(name)
+            if name in ("article", "main"):
+                own.append(name)
+            for a, v in ATTR.findall(m["attrs"]) if m["attrs"] else ():
+                a, v = a.lower(), v.strip("\"'")
+                if a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and re.search(r"display\s*:\s*none", v):
+                    own.append("hidden")
+                elif a in ("class", "id", "role"):
+                    own += [f".{w}" for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower()) if w]
+            stack.append((name, tuple(own)))
+            marks = stack[-1][1]
         yield Run(block, "tag " + name, marks, None, label)
     yield from words(page[at:])
 
@@ -187,6 +188,8 @@ class Weights:
     other_tag: float
 
     def of(self, r: Run) -> float:
+        if self.against(r) and any(self.marks.get(x, 0.0) > 0 for x in r.marks):
+            return 0.0  # left out in any case: content on both sides of it is one run
         if r.text is None:
             return self.tags.get(self.tag_kind(r), self.other_tag)
         # the mark that counts most against content decides; one for content adds a little

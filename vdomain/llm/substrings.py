@@ -279,9 +279,11 @@ def cover(n_words: int, places: bytes, window: int) -> np.ndarray:
     return np.cumsum(steps)[:n_words] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
     """`columns` of `docs` (all) with n_words, n_removed and kept_sha256 (long, long, string) and kept_text: the words that stay, joined by one space.
 
+    The new names may have a prefix; columns of `docs` with the same names give way to them.
+
     A document is its id and its words: of rows with equal id and words each gets the same result, and of
     rows with equal id and other words the one with the smaller key of the words counts as earlier. Null ids
     come last. Null and wordless texts have no words; texts shorter than a window lose none. kept_text is
@@ -299,17 +301,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     first = rows.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "dk")).alias("f")).select("content", F.col("f.dk").alias("first_dk"))
     halves = _repeated(survey.where("bucket is not null"), buckets)
     asked = scratch.table(halves.join(first, halves.key == first.content).select(F.col("first_dk").alias("dk"), F.col("values").alias("halves")))
-    keyed = with_key(docs, id_col, text)
-    sent = scratch.table(_extended(keyed.select(F.col(id_col).cast("long").alias("id"), "dk", F.col(text).alias("text")).dropDuplicates(["dk"]).join(asked, "dk"), window, buckets))
+    sent = scratch.table(_extended(with_key(base).dropDuplicates(["dk"]).join(asked, "dk"), window, buckets))
     places = scratch.table(_merged(sent.where("local").select("bucket", "blob").union(_losers(sent.where("not local"), buckets))).select(F.col("key").alias("dk"), F.col("values").alias("places")), asked)
     state = rows.dropDuplicates(["dk"]).join(first, "content").select("dk", "n_words", "sha", (F.col("dk") != F.col("first_dk")).alias("copy")).join(places, "dk", "left")
     state = scratch.table(state, sent)
 
     names = docs.columns if columns is None else columns
-    extra = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+    extra = {f"{prefix}n_words": pa.int64(), f"{prefix}n_removed": pa.int64(), f"{prefix}kept_sha256": pa.string(), f"{prefix}kept_text": pa.string()}
+    names = [n for n in names if n not in extra]
     none = kept_sha256([])
-    held = [*dict.fromkeys([*names, text])]  # each column is shuffled once
-    at_text = f"_c{held.index(text)}"
+    # inside, columns go by number: no name of theirs can clash
+    held = [*dict.fromkeys([*names, id_col, text])]
+    at_id, at_text = f"_c{held.index(id_col)}", f"_c{held.index(text)}"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,13 +331,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     c.append(x)
             yield pa.RecordBatch.from_arrays([*(b.column(f"_c{held.index(x)}") for x in names), *(pa.array(c, kind) for c, kind in zip(cols, extra.values()))], [*names, *extra])
 
-    schema = docs.select(*names, *[F.lit(None).cast("string" if k.startswith("kept") else "long").alias(k) for k in extra])._jdf.schema().toDDL()
-    flat = keyed.select("dk", *[F.col(f"`{n}`").alias(f"_c{j}") for j, n in enumerate(held)])
+    kinds = [F.lit(None).cast("string" if "kept_" in k else "long").alias(k) for k in extra]
+    schema = docs.select(*(F.col(f"`{n}`").cast("long" if n == id_col else docs.schema[n].dataType).alias(n) for n in names), *kinds)._jdf.schema().toDDL()
+    flat = with_key(docs.select(*[F.col(f"`{n}`").cast("long" if n == id_col else docs.schema[n].dataType).alias(f"_c{j}") for j, n in enumerate(held)]), at_id, at_text)
     joined = flat.join(state.select("dk", F.col("n_words").alias("_n"), F.col("sha").alias("_sha"), F.col("copy").alias("_copy"), F.col("places").alias("_places")), "dk")
     return joined.drop("dk").mapInArrow(finish, schema)
 
 
-def with_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def with_key(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """`docs` and dk, the key of the document's id and words."""
     schema = docs.select("*", F.lit(0).cast("long").alias("dk"))._jdf.schema().toDDL()
 
@@ -352,8 +356,9 @@ def digests(docs: DataFrame, window: int = 20) -> DataFrame:
 
 def rewritten(docs: DataFrame, window: int = 20) -> DataFrame:
     """`docs` with what repeats taken out of text, and n_chars to match where a column of that name is there."""
-    out = remove_repeats(docs, window=window)
-    new = {"text": F.coalesce("kept_text", "text")}
+    out = remove_repeats(docs, window=window, prefix="_repeat_")
+    kept = F.col("_repeat_kept_text")
+    new = {"text": F.coalesce(kept, "text"), "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
