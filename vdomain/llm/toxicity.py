@@ -26,8 +26,10 @@ WINDOW, STRIDE = 64, 56
 #: Labelled rows that the network is fitted on, at most: those with the smallest hash of their id, by label.
 MOST_TOXIC, MOST_CLEAN = 800, 1600
 #: Labelled texts that must hold a word for it to have a vector of its own; buckets of trigrams.
-LEAST_TEXTS, TRIGRAMS = 5, 1 << 14
+LEAST_TEXTS, TRIGRAMS = 3, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, EPOCHS, BATCH = 6, 6, 8, 8, 128
+#: Steps of training to take at least, and the most epochs to take them in.
+STEPS, MOST_EPOCHS = 160, 40
 #: Windows that are read side by side when scoring: their states stay in a core's cache.
 SIDE_BY_SIDE = 512
 EDGE = b".,;:!?\"'()[]{}<>|*_-#~`%&$"
@@ -246,8 +248,11 @@ class Network:
         return 0.5 + 0.5 * np.tanh(0.5 * best)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """The network, fitted on whole labelled texts (1: toxic). Without both labels it answers the share of label 1."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int | None = None) -> Network:
+    """The network, fitted on whole labelled texts (1: toxic). Without both labels it answers the one there is, or 0.
+
+    EPOCHS unless told otherwise, more with few texts: about STEPS steps are taken at least.
+    """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
     split = [tokens(t) for t in texts]
@@ -301,6 +306,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         step = np.arange(int(length[k].max()))[:, None]
         return np.where(step < length[k], ids[np.minimum(first[text[k]] + start[k] + step, len(ids) - 1)], 0)
 
+    if epochs is None:
+        epochs = max(EPOCHS, min(MOST_EPOCHS, STEPS * BATCH // max(1, len(texts) * 3 // 2)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step_n = 0
     for epoch in range(epochs):
