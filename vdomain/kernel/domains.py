@@ -10,8 +10,11 @@ import numpy as np
 from .profile import Profile, Scanner
 from .schemes import State
 
-#: Bits that a profile's best path must reach for its domains to be looked at.
-LOOK = 8.0
+#: Bits that a profile's best path must reach for its domains to be looked at; and how far below a threshold it may stay: all
+#: paths together score a few bits more than the best one.
+LOOK, SLACK = 8.0, 20.0
+#: Threshold of the second look.
+RESCUE = 10.0
 
 
 @dataclass(frozen=True)
@@ -49,24 +52,25 @@ class Parsed:
     reverted: bool = False
 
 
-Scan = Callable[[list[str]], list[list[Hit]]]
+Scan = Callable[[list[str], float], list[list[Hit]]]
 
 
 class ProfileScan:
-    """Hits of each sequence against all profiles, in the order of the profiles' best scores."""
+    """Hits of each sequence against all profiles, in the order of the profiles' best scores; weak ones below the threshold may be left out."""
 
     def __init__(self, profiles: list[Profile]):
         self.scanner = Scanner(profiles)
         self.models = len(profiles)
 
-    def __call__(self, seqs: list[str]) -> list[list[Hit]]:
+    def __call__(self, seqs: list[str], threshold: float = 0.0) -> list[list[Hit]]:
+        look = max(LOOK, threshold - SLACK)
         out: list[list[Hit]] = [[] for _ in seqs]
         order = sorted((k for k in range(len(seqs)) if seqs[k]), key=lambda k: len(seqs[k]))
         for lo in range(0, len(order), 24):  # like lengths together: little padding, small tables
             part = order[lo : lo + 24]
             rows = [(k, m) for k in part for m in range(self.models)]
             best = self.scanner.viterbi([seqs[k] for k, _ in rows], np.array([m for _, m in rows]))
-            near = [(k, m) for (k, m), b in zip(rows, best) if b >= LOOK]
+            near = [(k, m) for (k, m), b in zip(rows, best) if b >= look]
             found = self.scanner.paths([seqs[k] for k, _ in near], np.array([m for _, m in near], int))
             parts = []
             for (k, m), domains in zip(near, found):
@@ -90,7 +94,7 @@ class ReplayScan:
     def __init__(self, hits: dict[str, list[Hit]]):
         self.hits = hits
 
-    def __call__(self, seqs: list[str]) -> list[list[Hit]]:
+    def __call__(self, seqs: list[str], threshold: float = 0.0) -> list[list[Hit]]:
         return [self.hits.get(s, []) for s in seqs]
 
 
@@ -162,11 +166,11 @@ def second_look(p: Parsed, cys: int, rest: Parsed) -> None:
 
 def domains_of(seqs: list[str], scan: Scan, threshold: float, model_lengths: dict[str, int], species: list[str] | None = None) -> list[Parsed]:
     """Scans, chooses and rescues for a batch; the rests that need a second look are one more batch."""
-    parsed = [choose(h, len(s), threshold, model_lengths, species) for h, s in zip(scan(seqs), seqs)]
+    parsed = [choose(h, len(s), threshold, model_lengths, species) for h, s in zip(scan(seqs, threshold), seqs)]
     again = [(p, c, s[c + 1 :]) for p, s in zip(parsed, seqs) if (c := needs_second_look(p, len(s))) is not None]
     if again:
-        for (p, c, rest), hits in zip(again, scan([r for _, _, r in again])):
-            second_look(p, c, choose(hits, len(rest), 10.0, model_lengths))
+        for (p, c, rest), hits in zip(again, scan([r for _, _, r in again], RESCUE)):
+            second_look(p, c, choose(hits, len(rest), RESCUE, model_lengths))
     return parsed
 
 

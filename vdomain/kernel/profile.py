@@ -180,6 +180,9 @@ class Scanner:
             return []
         _, kept, (x, n, stay, leave, g, run, emit) = self.viterbi(seqs, models, trace=True)
         half = np.float32(math.log(0.5))
+        M, I, D = (np.stack([k[c] for k in kept]) for c in range(3))  # time, row, node
+        B, J, C, E, N = (np.stack([k[c][:, 0] for k in kept]) for c in range(3, 8))
+        top_m, top_d = M.max(axis=2), D.max(axis=2)
         out = []
         close = lambda a, b: abs(float(a) - float(b)) < 1e-2
         for r in range(len(seqs)):
@@ -187,14 +190,12 @@ class Scanner:
             t = int(n[r]) - 1
             state = "C"
             cols: list[str] = []
-            end = k = 0
+            k = 0
             while t >= 0:
-                M, I, D, B, J, C, E, N = (a[r] for a in kept[t])
                 if state in "CJ":
-                    own = C if state == "C" else J
-                    if close(own[0], E[0] + half):
-                        k = int(np.argmax(M)) if M.max() >= D.max() else int(np.argmax(D))
-                        state, cols, end = ("M" if M.max() >= D.max() else "D"), [], t + 1
+                    if close((C if state == "C" else J)[t, r], E[t, r] + half):
+                        state = "M" if top_m[t, r] >= top_d[t, r] else "D"
+                        k, cols = int(np.argmax((M if state == "M" else D)[t, r])), []
                     else:
                         t -= 1
                     continue
@@ -202,30 +203,29 @@ class Scanner:
                     break
                 if state == "D":
                     cols.append("d")
-                    ways = M[:k] + g["md"][r, :k] - run[r, :k] - g["dd"][r, :k]
+                    ways = M[t, r, :k] + g["md"][r, :k] - run[r, :k] - g["dd"][r, :k]
                     j = int(np.argmax(ways))
                     cols += ["d"] * (k - j - 1)
                     k, state = j, "M"
                     continue
-                before = [a[r] for a in kept[t - 1]] if t else None
                 if state == "I":
                     cols.append("i")
-                    state = "M" if close(I[k], before[0][k] + g["mi"][r, k]) else "I"
+                    state = "M" if close(I[t, r, k], M[t - 1, r, k] + g["mi"][r, k]) else "I"
                     t -= 1
                     continue
                 cols.append("m")
-                value = M[k] - emit[r, x[r, t], k]
-                start_b = before[3][0] if before else leave[r, 0]
-                if close(value, start_b + g["entry"][r, k]) or before is None or k == 0:
+                value = M[t, r, k] - emit[r, x[r, t], k]
+                start_b = B[t - 1, r] if t else leave[r, 0]
+                if close(value, start_b + g["entry"][r, k]) or t == 0 or k == 0:
                     text = "".join(reversed(cols)).rstrip("d")
                     nodes = sum(c != "i" for c in text)
                     domains.append((t, t + sum(c != "d" for c in text), k, k + nodes, text))
                     t -= 1
                     if t < 0:
                         break
-                    state = "J" if before[4][0] + leave[r, 0] >= before[7][0] + leave[r, 0] and before[4][0] > NEG / 2 else "N"
+                    state = "J" if J[t, r] >= N[t, r] and J[t, r] > NEG / 2 else "N"
                     continue
-                options = {"M": before[0][k - 1] + g["mm"][r, k], "I": before[1][k - 1] + g["im"][r, k], "D": before[2][k - 1] + g["dm"][r, k]}
+                options = {"M": M[t - 1, r, k - 1] + g["mm"][r, k], "I": I[t - 1, r, k - 1] + g["im"][r, k], "D": D[t - 1, r, k - 1] + g["dm"][r, k]}
                 state = max(options, key=lambda s: options[s])
                 k, t = k - 1, t - 1
             out.append(domains[::-1])
