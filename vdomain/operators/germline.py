@@ -31,8 +31,11 @@ def identity(query: str | Column, gene: str | Column) -> Column:
 
 def best_by_identity(queries: DataFrame, genes: DataFrame, key: str, segment: str, on: list[str]) -> DataFrame:
     """(key, species, gene, identity): the first gene, by species and gene order, of those with the highest identity to `aligned_query`; nothing where it is 0."""
-    g = genes.where(F.col("seg") == segment)
-    scored = queries.join(g, on).withColumn("identity", identity("aligned_query", "aligned"))
+    # both sides are split once per row, not once per pair; a gene's columns that count are its residues
+    g = genes.where(F.col("seg") == segment).select(*on, *(c for c in ("species", "species_ord", "gene", "gene_ord") if c not in on), F.split("aligned", "").alias("_g"), F.length("ungapped").alias("_n"))
+    q = queries.select(key, *on, F.split(F.upper("aligned_query"), "").alias("_q"))
+    same = F.size(F.filter(F.zip_with("_q", "_g", lambda a, b: (a == b) & (b != "-")), lambda x: x))
+    scored = q.join(g, on).withColumn("identity", F.when(F.col("_n") > 0, same / F.col("_n")).otherwise(0.0))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("identity")).alias("lack"), "species_ord", "gene_ord", "species", "gene")).alias("b"))
     return best.where("b.lack < 0").select(key, F.col("b.species").alias("species"), F.col("b.gene").alias("gene"), (-F.col("b.lack")).alias("identity"))
 

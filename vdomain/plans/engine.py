@@ -20,7 +20,7 @@ from ..sources.reference import load_genes, load_profiles
 
 STATE = "struct<id:int,typ:string,si:int>"
 GERMLINE = "struct<empty:boolean,v_species:string,v_gene:string,v_identity:double,v_evalue:double,j_species:string,j_gene:string,j_identity:double,j_evalue:double>"
-DOMAIN = f"struct<id:string,species:string,chain_type:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int,scheme:string,state_vector:array<{STATE}>,residues:array<struct<num:int,ins:string,aa:string>>,start:int,end:int,germline:{GERMLINE}>"
+DOMAIN = f"struct<id:string,species:string,chain_type:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int,scheme:string,state_vector:array<{STATE}>,residues:array<struct<num:int,ins:string,aa:string>>,start:int,end:int,germline:{GERMLINE},covered:struct<lo:int,hi:int>>"
 HIT = "struct<id:string,description:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int>"
 RESULT = f"sequence string, domains array<{DOMAIN}>, hits array<{HIT}>, reverted_species boolean, error string"
 
@@ -61,6 +61,12 @@ def result_type() -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(RESULT))
 
 
+def covered(states: list[tuple[int, str, int | None]]) -> dict[str, int | None]:
+    """First and last match state that has a residue."""
+    ids = [i for i, kind, at in states if kind == "m" and at is not None]
+    return {"lo": min(ids, default=None), "hi": max(ids, default=None)}
+
+
 def annotate_batch(seqs: list[str], scan: Scan, table: GeneTable, lengths: dict[str, int], o: AnnotateOptions) -> list[dict]:
     """The kernel: results of distinct sequences, in order. A sequence that fails has an error and nothing else."""
     scheme, species = resolve_scheme(o.scheme), list(o.allowed_species or [])
@@ -83,7 +89,7 @@ def annotate_batch(seqs: list[str], scan: Scan, table: GeneTable, lengths: dict[
                 germ = {f: (float(v) if isinstance(v := getattr(g, f), float) else v) for f in Germline.__dataclass_fields__} if o.assign_germline else None
                 domains.append(
                     {"id": d.hit_id, "species": g.v_species or d.species, "chain_type": d.chain, "evalue": d.evalue, "bitscore": d.bitscore, "bias": d.bias, "query_start": start, "query_end": end, "scheme": scheme,
-                     "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": germ})
+                     "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": germ, "covered": covered(states)})
             out[k]["domains"] = domains or None
         except (NumberingError, IndexError) as e:
             if o.fail_fast:
@@ -125,7 +131,12 @@ def annotate(df: DataFrame, options: AnnotateOptions = AnnotateOptions(), profil
                 rows = done + [{"sequence": s, "domains": None, "hits": [], "reverted_species": False, "error": "invalid"} for s in part if s in bad]
                 yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kind], schema=kind)
 
-    kernel = lambda d: d.select("sequence").mapInArrow(run, RESULT)
+    def kernel(d: DataFrame) -> DataFrame:
+        out = d.select("sequence").mapInArrow(run, RESULT)
+        if o.regions:  # before results are joined back: once per distinct sequence
+            out = out.withColumn("domains", F.transform("domains", lambda d: d.withField("regions", R.as_map(d["covered"]["lo"], d["covered"]["hi"]))))
+        return out
+
     if not distinct:
         out = kernel(df.where("sequence is not null"))
     else:
@@ -134,8 +145,6 @@ def annotate(df: DataFrame, options: AnnotateOptions = AnnotateOptions(), profil
         out = out.withColumn("error", F.coalesce(validation_error("sequence"), "error"))
         if o.fail_fast:
             out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("string")))
-    if o.regions:
-        out = out.withColumn("domains", F.transform("domains", lambda d: d.withField("covered", R.covered(d["state_vector"])).withField("regions", R.as_map(R.covered(d["state_vector"])["lo"], R.covered(d["state_vector"])["hi"]))))
     return out
 
 
