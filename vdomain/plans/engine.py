@@ -161,7 +161,7 @@ def hit_rows(annotated: DataFrame) -> DataFrame:
 
 
 def residue_rows(domains: DataFrame) -> DataFrame:
-    rest = [c for c in domains.columns if c not in ("residues", "state_vector", "germline")]
+    rest = [c for c in domains.columns if c not in ("residues", "state_vector", "germline", "covered", "regions")]
     return domains.select(*rest, F.posexplode("residues").alias("res_ord", "r")).select(*rest, "res_ord", "r.num", "r.ins", "r.aa")
 
 
