@@ -78,10 +78,9 @@ def test_known_domain_in_all_schemes(scan):
     assert [d.chain for d in p.domains] == ["H"]
     shown = {s: [f"{n}{c.strip()}" for n, c, a in S.number(p.states[0], VH, s, "H")[0] if a != "-"] for s in S.NAMES.values()}
     assert shown["imgt"][:9] == [str(k) for k in range(1, 10)] and shown["imgt"][-1] == "128"
-    for scheme in ("chothia", "kabat", "martin"):
-        assert shown[scheme][-13:] == ["100A", "100B", "101", "102", *(str(k) for k in range(103, 114))][-13:]
-        assert {"82A", "82B", "82C"} <= set(shown[scheme]) or scheme == "martin"
-    assert shown["aho"][-1] == "149" or shown["aho"][-1] == "148"
+    for scheme, inserted in (("chothia", {"82A", "82B", "82C"}), ("kabat", {"82A", "82B", "82C"}), ("martin", {"72A", "72B", "72C"})):
+        assert shown[scheme][-13:] == ["101", "102", *(str(k) for k in range(103, 114))] and inserted <= set(shown[scheme])
+    assert shown["aho"][-1] == "149" and shown["wolfguy"][-1] == "411"
     for s in shown:
         r, first, last = S.number(p.states[0], VH, s, "H")
         assert S.check_numbering(r, VH) is None and (first, last) == (0, len(VH) - 1)
@@ -94,7 +93,7 @@ def test_ladders_leave_out_and_insert_where_the_schemes_say():
     assert shown(S._H1, 9) == [*(str(k) for k in range(23, 30)), "32", "33"] and shown(S._H1, 1) == ["32"]
     assert shown(S._H1, 13)[8:] == ["31", "31A", "31B", "32", "33"]
     assert shown(S._H2, 5) == ["53", "54", "55", "56", "57"] and shown(S._H2, 10)[2:5] == ["52", "52A", "52B"]
-    assert shown(S._H3, 8) == ["93", "94", "97", "98", "99", "100", "101", "102"][0:0] + ["93", "94", "95", "96", "97", "98", "101", "102"]
+    assert shown(S._H3, 8) == ["93", "94", "95", "96", "97", "98", "101", "102"]
     assert S._H3.numbers(row(37), "H") is None and shown(S._H3, 36)[-3] == "100Z"
     assert shown(S.SCHEMES["wolfguy", "H"].rules[1], 3) == ["151", "152", "199"]
     assert shown(S.SCHEMES["wolfguy", "L"].rules[1], 4) == ["508", "508A", "509", "510"]
@@ -113,7 +112,7 @@ def test_scheme_names_and_chains():
 def test_smoothing_moves_insertions_into_the_loop_and_drops_an_open_end():
     states = [(24, "m", 0), (25, "m", 1), (26, "m", 2), (26, "i", 3), (27, "m", 4), (28, "m", 5)]
     out = S.smooth(states)
-    assert [(i, k) for i, k, _ in out] == [(24, "m"), (25, "m"), (26, "m"), (27, "m"), (27, "m"), (28, "m")] or len(out) == 6
+    assert [(i, k) for i, k, _ in out] == [(24, "m"), (25, "m"), (26, "m"), (27, "m"), (27, "m"), (28, "m")]
     assert S.smooth([(116, "m", 0), (117, "m", 1)]) == [(116, "m", 0)]
     assert S.smooth([(116, "m", 0), (117, "m", 1)], keep_tail=True)[-1] == (117, "m", 1)
 
