@@ -410,6 +410,11 @@ def scored(docs: DataFrame, network: Network, text: str = "text", column: str =
 
 
 def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted: a row per row of `docs`, repeated and null ids too (a null id isn't held out).
+
+    Null and empty texts get the network's answer to nothing. Labels that are null, of other values or of no document are passed over. Columns of
+    `docs` other than id and text aren't read. Without labelled rows every score is the same.
+    """
     net = train(docs, labels)
     out = scored(docs.select("doc_id", "text"), net, column="score", keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -85,7 +85,10 @@ def serialize(records: list[dict]) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path, one task per file; Spark opens the files, wherever they are."""
+    """Records of all WARC files under a path; Spark opens the files, wherever they are.
+
+    A file is one row and is in memory whole (about a GB by custom), so the session is set to send one row at a time to Python.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"record_id": pa.string(), "type": pa.string(), "url": pa.string(), "date": pa.string(), "status": pa.int32(), "headers": pa.map_(pa.string(), pa.string()), "body": pa.binary()}
