@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vdomain.llm import mixing, packing, simhash, substrings, toxicity
+from vdomain.llm import mixing, packing, similar, substrings, toxicity
 from vdomain.llm.common import Scratch
 
 
@@ -14,8 +14,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group that links of at least 0.8 similarity in five-word shingles join."""
+    return similar.drop_similar(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
