@@ -312,15 +312,21 @@ def align_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A domain for each order: a V gene of its chain, 4 to 11 digest residues, a J gene; one order in three has few substitutions. Orders share 500 sequences."""
+    """A domain for each order, from its own key: a V gene of its chain, 4 to 11 digest residues, a J gene; one order in three has few substitutions."""
     by: dict[tuple[str, str], list[str]] = {}
     for g in _GENES:
         by.setdefault((g.chain, g.segment), []).append(g.ungapped)
     rows = [(k, c, v, j) for k, (c, v, j) in enumerate((c, v, j) for c in _CHAINS for v in by[c, "V"] for j in by[c, "J"][:2])]
     parts = F.broadcast(spark.createDataFrame(rows, "pair int, chain string, v string, j string"))
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 500).alias("n")).withColumn("pair", (F.col("n") % len(rows)).cast("int"))
-    loop = F.substring(residues("n"), F.lit(1), (4 + F.col("n") % 8).cast("int"))
-    return o.join(parts, "pair").select("o_orderkey", "chain", F.concat(F.when(F.col("n") % 3 == 0, F.concat(F.lit("S"), F.expr("substring(v, 2)"))).otherwise(F.col("v")), loop, "j").alias("sequence"))
+    k, turn = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / len(rows))  # by turns, each pair meets each length and both kinds
+    o = read(spark, sf_dir, "orders").select("o_orderkey").withColumn("pair", (k % len(rows)).cast("int"))
+    loop = F.substring(residues("o_orderkey"), F.lit(1), (4 + turn % 8).cast("int"))
+    # two framework residues, at places and to letters that further digests of the key give
+    noise = residues(F.concat(k.cast("string"), F.lit(":v")))
+    at = lambda first, bits: (first + F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(":at"))), bits, 1), 16, 10).cast("int")).cast("int")
+    put = lambda c, place, letter: F.concat(F.substring(c, F.lit(1), place - 1), letter, F.substring(c, place + 1, F.lit(200)))
+    few = put(put(F.col("v"), at(2, 1), F.substring(noise, 1, 1)), at(60, 2), F.substring(noise, 2, 1))
+    return o.join(parts, "pair").select("o_orderkey", "chain", F.concat(F.when(turn % 3 == 0, few).otherwise(F.col("v")), loop, "j").alias("sequence"))
 
 
 def _numbered(scheme: str) -> Query:
