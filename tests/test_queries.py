@@ -15,3 +15,11 @@ def sf(spark, tmp_path_factory):
 def test_sequences_grow_with_the_orders(spark, sf):
     rows = queries.made_sequences(spark, sf).collect()
     assert len(rows) == 1500 and len({r.sequence for r in rows}) > 1490
+
+
+def test_long_loops_of_all_heavy_orders(spark, sf):
+    heavy = {r.o_orderkey for r in queries.made_sequences(spark, sf).where("chain = 'H'").collect()}
+    got = queries.long_cdr3_rescue(spark, sf).collect()
+    assert len(heavy) > 200 and len(got) == len(heavy) and {r.o_orderkey for r in got} == heavy
+    assert all(r.length == 98 + 60 + 14 for r in got)
+    assert sum(r.query_end == r.length for r in got) > 0.95 * len(got)

@@ -361,11 +361,10 @@ def number_first_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def long_cdr3_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heavy domains whose third loop is 60 residues long."""
-    h = made_sequences(spark, sf_dir).where("chain = 'H'").withColumn("j", F.lit("FDPWGQGTLVSVSS"))
+    """Each heavy order's domain with a third loop of 60 residues."""
+    h = made_sequences(spark, sf_dir).where("chain = 'H'")
     loop = F.substring(residues(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")), F.concat(F.col("o_orderkey").cast("string"), F.lit("y"))), 1, 60)
-    long = h.select((F.col("o_orderkey") % 100).alias("k"), "sequence").groupBy("k").agg(F.min("sequence").alias("s")).select(F.col("k").alias("o_orderkey"), F.col("s"))
-    made = long.select("o_orderkey", F.concat(F.substring("s", 1, 98), loop, F.lit("FDPWGQGTLVSVSS")).alias("sequence"))
+    made = h.select("o_orderkey", F.concat(F.substring("sequence", 1, 98), loop, F.lit("FDPWGQGTLVSVSS")).alias("sequence"))
     a = E.annotate(made)
     return a.select("o_orderkey", F.length("sequence").alias("length"), F.try_element_at("domains", F.lit(1)).alias("d")).select("o_orderkey", "length", "d.query_end", F.size("d.residues").alias("n"))
 
