@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, texts_of
 
 #: Words in a window, and from one window's start to the next.
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 16
 #: Labelled rows that the network is fitted on, at most: those with the smallest hash of their id, by label.
 MOST_TOXIC, MOST_CLEAN = 800, 1600
 #: Labelled texts that must hold a word for it to have a vector of its own; buckets of trigrams.
