@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vdomain import queries
+from vdomain.kernel.sw import local_identity, local_score
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +24,10 @@ def test_long_loops_of_all_heavy_orders(spark, sf):
     assert len(heavy) > 200 and len(got) == len(heavy) and {r.o_orderkey for r in got} == heavy
     assert all(r.length == 98 + 60 + 14 for r in got)
     assert sum(r.query_end == r.length for r in got) > 0.95 * len(got)
+
+
+def test_whole_sequences_are_aligned(spark, sf):
+    rows = queries.sw_scores(spark, sf).collect()
+    assert len(rows) == 200 and all(len(r.a) == len(r.b) == 32 for r in rows) and len({r.b for r in rows}) == 200
+    for r in rows[:50]:
+        assert r.score == local_score(r.a, r.b) and r.identity == local_identity(r.a, r.b)[0]
