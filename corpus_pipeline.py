@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vdomain.llm import mixing, packing, similar, substrings, toxicity
-from vdomain.llm.common import Scratch
+from vdomain.llm import mixing, packing, simhash, substrings, toxicity
+from vdomain.llm.common import Scratch, released
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of at least 0.8 similarity in five-word shingles join."""
-    return similar.drop_similar(docs)
+    """One document of each group that links of at least 0.8 similarity in five-word shingles join; fingerprints and bands propose them."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +43,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), docs)
     return docs

@@ -94,7 +94,7 @@ def test_fingerprints_are_those_of_the_sql_hash(spark):
 
 
 def test_anchors_cover_every_pair():
-    """The code is perfect, and two values that differ in one bit meet at a home anchor."""
+    """The code is perfect, and two values that differ in up to three bits meet at a home anchor."""
     first, patterns = simhash.coset_patterns(simhash.RADIUS)
     assert len(patterns) == 2048 and (np.diff(first) == 1).all()
     rng = np.random.default_rng(0)
@@ -104,12 +104,12 @@ def test_anchors_cover_every_pair():
         for k in range(len(b)):
             for p in rng.choice(64, bits, replace=False):
                 b[k] ^= np.uint64(1) << np.uint64(p)
-        cosets = simhash.coset_patterns(simhash.RADIUS + 1)
+        cover = simhash.covering(1)
         home, all_ = [set() for _ in a], [set() for _ in a]
-        for which, anchor, is_home in simhash.anchors_of(a, cosets):
+        for which, anchor, is_home in simhash.anchors_of(a, cover):
             for w, x in zip(which[is_home], anchor[is_home]):
                 home[w].add(x)
-        for which, anchor, _ in simhash.anchors_of(b, cosets):
+        for which, anchor, _ in simhash.anchors_of(b, cover):
             for w, x in zip(which, anchor):
                 all_[w].add(x)
         assert all(h & o for h, o in zip(home, all_))
@@ -133,21 +133,13 @@ def brute_components(rows, distance=3):
 @pytest.mark.parametrize("block", [simhash.BLOCK, 3])
 def test_simhash_components(spark, docs, monkeypatch, block):
     monkeypatch.setattr(simhash.links, "__defaults__", (3, block))
+    monkeypatch.setattr(simhash, "AT_ONCE", 100)
     rows = documents()
     fps, want = brute_components(rows)
     got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.simhash_components(docs).collect())
     assert got == Counter(zip([r[0] for r in rows], fps, want))
 
 
-def test_simhash_drop(spark, docs, empty):
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    _, want = brute_components(documents())
-    assert Counter(ids) == Counter(set(want)) and None not in ids
-    assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
-
-
 # --- substring dedup ----------------------------------------------------------------------------------
 
 
@@ -155,7 +147,7 @@ def brute_repeats(rows, window):
     """(id, words) to (words, removed, digest), windows in order of id (nulls last), key of the words, and start."""
     seen, out = set(), {}
     distinct = {(r[0], b" ".join((r[1] or "").encode().split())) for r in rows}
-    key = lambda d: (d[0] is None, d[0] or 0, substrings.doc_key(d[0], substrings.content_key(d[1].split())))
+    key = lambda d: (d[0] is None, d[0] or 0, substrings.content_key(d[1].split()))
     for i, t in sorted(distinct, key=key):
         w = t.split()
         gone = [False] * len(w)
@@ -169,18 +161,37 @@ def brute_repeats(rows, window):
     return out
 
 
+def brute_longest(rows, window):
+    """(id, words) to the longest of the lengths window, 2 * window, 4 * window... at which a run of it stands at another place too."""
+    docs = {(r[0], b" ".join((r[1] or "").encode().split())) for r in rows}
+    out = dict.fromkeys(docs, 0)
+    n = window
+    while True:
+        runs = Counter()
+        for _, t in docs:
+            w = t.split()
+            runs.update(tuple(w[s : s + n]) for s in range(len(w) - n + 1))
+        again = {r for r, c in runs.items() if c > 1}
+        if not again:
+            return out
+        for d in docs:
+            w = d[1].split()
+            if any(tuple(w[s : s + n]) in again for s in range(len(w) - n + 1)):
+                out[d] = n
+        n *= 2
+
+
 @pytest.mark.parametrize("window", [20, 7, 4])
-@pytest.mark.parametrize("flush", [substrings.FLUSH_WORDS, 50])
-def test_substrings(spark, docs, window, flush, monkeypatch):
-    monkeypatch.setattr(substrings, "FLUSH_WORDS", flush)
-    monkeypatch.setattr(substrings, "PER_BUCKET", 2000)
+@pytest.mark.parametrize("runs", [substrings.PART_RUNS, 50])
+def test_substrings(spark, docs, window, runs, monkeypatch):
+    monkeypatch.setattr(substrings, "PART_RUNS", runs)
     rows = documents()
-    want = brute_repeats(rows, window)
-    got = substrings.remove_repeats(docs, window=window).select("doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text", "fp", "dk").collect()
+    want, longest = brute_repeats(rows, window), brute_longest(rows, window)
+    got = substrings.remove_repeats(docs, window=window, longest=True).select("doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text", "longest_repeat", "fp", "dk").collect()
     assert len(got) == len(rows)
     for r in got:
         t = b" ".join((r.text or "").encode().split())
-        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, t]
+        assert (r.n_words, r.n_removed, r.kept_sha256, r.longest_repeat) == (*want[r.doc_id, t], longest[r.doc_id, t])
         assert hashlib.sha256(t if r.kept_text is None else r.kept_text.encode()).hexdigest() == r.kept_sha256
         assert (r.fp, r.dk) == ("own", 1)
     assert sum(r.n_removed for r in got) > 0
@@ -236,14 +247,33 @@ def test_mixing(spark, docs, empty):
 
 
 def test_complete_epochs_precede_and_heavier_documents_come_sooner(spark):
-    rows = [(k, words(random.Random(k), 10), "en", "a" if k < 20 else "b", 0) for k in range(120)]
-    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    # half of the documents have words of 10 letters and more, which quality() gives less weight
+    rows = [(k, " ".join(f"{'verylongword' if k % 2 else 'word'}{j}" for j in range(10)), "en", "a" if k < 300 else "b", 0) for k in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix(df).collect()
     for r in out:
         assert r.size * int(r.target // r.source_size) <= r.taken <= r.size * (1 + int(r.target // r.source_size))
+    sooner = [r.doc_id % 2 == 0 for r in out if r.source == "a" and r.taken > r.size]
+    assert len(sooner) == 100 and sum(sooner) > 0.55 * len(sooner)
+    heavy = mixing.mix(df, quality_of=F.when(F.col("doc_id") % 10 == 0, 1000.0).otherwise(1.0)).collect()
+    assert all(r.taken > r.size * int(r.target // r.source_size) for r in heavy if r.doc_id % 10 == 0 and r.source == "a")
 
 
-def test_mixed_rows_hold_what_was_taken(spark, docs):
+def test_first_words_are_as_they_stand(spark):
+    texts = ["a  b\n\nc d", " \t a b", "a", "é  ü\r\nx ", "one\x0btwo three"]
+    got = spark.createDataFrame([(t, n) for t in texts for n in (1, 2)], "t string, n int").select("t", "n", mixing.first_words("t", F.col("n")).alias("f")).collect()
+    for r in got:
+        w = r.t.encode().split()[: r.n]
+        assert r.t.startswith(r.f) and r.f.encode().split() == w and r.f.encode()[-1:] == w[-1][-1:]
+
+
+def test_mixed_rows_hold_what_was_taken(spark, docs, empty):
+    docs = docs.withColumn("_c0", F.lit("own")).withColumn("rid", F.lit(2)).withColumn("_source", F.create_map(F.lit("a"), F.lit(1))).withColumn("_key", F.lit("own"))
+    assert mixing.mixed(empty).count() == 0
     m = mixing.mixed(docs)
+    assert {(r["_c0"], r.rid, r["_key"], r["_source"]["a"]) for r in m.collect()} == {("own", 2, "own", 1)}
+    texts = {" ".join(r[1].split()) for r in documents() if r[1]}
+    assert all(any(t.startswith(" ".join(r.text.split())) for t in texts) for r in m.select("text").collect())
     assert m.columns == docs.columns
     got = m.select(mixing.n_words().alias("n")).agg(F.sum("n")).first()[0]
     assert got == mixing.mix(docs).agg(F.sum("taken")).first()[0]
@@ -323,7 +353,7 @@ def labelled(n=160, seed=5):
 def test_toxicity_held_out(spark):
     rows, labels = labelled()
     rows += [(5000, "", None, None, None), (5001, None, None, None, None), (None, "alpha beta", None, None, None), rows[0]]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("own"))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("own")).withColumn("_toxicity", F.create_map(F.lit(1), F.lit(2)))
     lab = spark.createDataFrame([*labels, (3, 1, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
     out = toxicity.score_all(docs, lab).collect()
     assert len(out) == len(rows)
@@ -352,16 +382,64 @@ def test_gradients():
         net.p[k] = net.p[k].astype(np.float64)
     x, n, y, w = rng.standard_normal((5, 4, 2, 3 * toxicity.HIDDEN)), np.array([5, 3, 1, 4]), np.array([1, 0, 1, 0.0]), np.ones(4)
     g, dx, _ = net.gradients(x, n, y, w)
-    for name in ("U", "A", "av", "o", "ob", "ab"):
-        v = net.p[name]
-        at = tuple(rng.integers(0, s) for s in v.shape)
-        old, e = v[at], 1e-3
-        v[at] = old + e
-        up = net.gradients(x, n, y, w)[2]
-        v[at] = old - e
-        down = net.gradients(x, n, y, w)[2]
-        v[at] = old
-        assert g[name][at] == pytest.approx((up - down) / 2 / e, abs=2e-3)
+    for v, own in [(net.p[name], g[name]) for name in ("U", "A", "av", "o", "ob", "ab")] + [(x, dx)]:
+        for _ in range(3):
+            at = tuple(rng.integers(0, s) for s in v.shape)
+            old, e = v[at], 1e-3
+            v[at] = old + e
+            up = net.gradients(x, n, y, w)[2]
+            v[at] = old - e
+            down = net.gradients(x, n, y, w)[2]
+            v[at] = old
+            assert own[at] == pytest.approx((up - down) / 2 / e, abs=2e-3)
+
+
+def test_gradients_of_inputs():
+    """Of the projections and of words' and trigrams' vectors, against differences of the loss."""
+    rng = np.random.default_rng(1)
+    words = [b"alpha", b"beta", b"gam", b"delta", b"zz"]
+    net = toxicity.fit([b"alpha beta gam", b"delta zz"] * 5, np.array([1, 0] * 5), epochs=1)
+    p = net.p
+    for k in p:
+        p[k] = p[k].astype(np.float64)
+    word_rows = np.array([0, *(net.word_row(w) for w in words)])
+    tg, begin = toxicity.trigrams(words)
+    size = np.diff(np.append(begin, len(tg)))
+    used, at = np.arange(6), rng.integers(1, 6, (4, 3))
+    length, y, w = np.array([4, 2, 3]), np.array([1, 0, 1.0]), np.ones(3)
+
+    def loss():
+        xs = toxicity.inputs_of(p, used, word_rows, tg, begin, size)
+        proj = np.einsum("nd,kdh->nkh", xs, p["W"]) + p["b"]
+        return net.gradients(proj[at], length, y, w), xs
+
+    (_, dx, _), xs = loss()
+    g = toxicity.input_gradients(p, dx, at, used, xs, word_rows, tg, begin, size)
+    for name in ("W", "b", "Ew", "Ec"):
+        v = p[name]
+        rows = {"Ew": word_rows[1:], "Ec": tg}.get(name)
+        for _ in range(6):
+            k = tuple(rng.integers(0, s) for s in v.shape)
+            if rows is not None:
+                k = (int(rng.choice(rows)), *k[1:])
+            old, e = v[k], 1e-3
+            v[k] = old + e
+            up = loss()[0][2]
+            v[k] = old - e
+            down = loss()[0][2]
+            v[k] = old
+            if name != "Ew" or k[0]:
+                assert g[name][k] == pytest.approx((up - down) / 2 / e, abs=1e-4)
+
+
+def test_fast_logits_are_logits():
+    rng = np.random.default_rng(2)
+    net = toxicity.fit([b"a b c", b"d e f"] * 5, np.array([1, 0] * 5), epochs=1)
+    table = rng.standard_normal((2, 30, 3 * toxicity.HIDDEN)).astype(np.float32)
+    for length in (np.array([7, 3, 1, 6]), np.array([5, 5])):
+        rows = rng.integers(0, 30, (int(length.max()), len(length)))
+        projected = np.stack((table[0][rows], table[1][rows]), axis=2) / net.halves
+        assert np.allclose(net.fast_logits(table, rows, length), net.logits(projected.astype(np.float32), length), atol=1e-4)
 
 
 def test_toxicity_without_examples(spark, empty):

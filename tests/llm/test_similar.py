@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from vdomain.llm import similar
+from vdomain.llm import simhash, similar
 
 from .test_documents import SCHEMA, empty, plain_fingerprint, words  # noqa: F401
 
@@ -45,8 +47,35 @@ def test_stage_finds_every_similar_pair(spark, tmp_path, empty):  # noqa: F811
     far = [(i, j) for i, j in pairs if (plain_fingerprint(rows[i][1]) ^ plain_fingerprint(rows[j][1])).bit_count() > 3]
     assert len(far) > 20  # pairs that fingerprints within three bits leave in
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r.doc_id: r.component_id for r in similar.similar_components(docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
     assert [got[k] for k in range(len(rows))] == want
     kept = corpus_pipeline.distinct(spark, docs, str(tmp_path))
     assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
-    assert similar.drop_similar(empty).count() == 0
+    assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.near_duplicate_groups(empty).count() == 0
+
+
+def test_rows_are_told_apart_by_place(spark):
+    """Null and repeated ids, and columns of any name and type: one row of each group of texts stays, and no other goes."""
+    rng = random.Random(6)
+    texts = [words(rng, 30) for _ in range(8)]
+    ids = [None, None, None, 1, 1, 2, 3, 4]
+    rows = [(i, t, "en", "s", 1) for i, t in zip(ids, texts)] + [(9, texts[0], "en", "s", 1), (None, texts[6], "en", "s", 1), (1, texts[3], "de", "s", 2), (5, None, "en", "s", 0), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("rid", F.lit("own")).withColumn("_c0", F.lit(7)).withColumn("root", F.lit(8)).repartition(4)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.dtypes == docs.dtypes
+    out = kept.collect()
+    assert sorted(r.text or "" for r in out) == sorted(["", *texts])
+    by = {r.text: r for r in out}
+    assert by[texts[0]].doc_id == 9 and by[texts[6]].doc_id == 3 and all((r.m, r.rid, r["_c0"], r.root) == ({"k": 1}, "own", 7, 8) for r in out)
+    assert [r.doc_id for r in out if not r.text] == [5]
+
+
+def test_a_large_group_is_dealt_out(spark, monkeypatch):
+    rng = random.Random(7)
+    for name, value in (("BLOCK", 8), ("VERIFIED", 4)):
+        monkeypatch.setattr(similar, name, value)
+    base = words(rng, 80)
+    rows = [(k, edited(rng, base, 1), "en", "s", 1) for k in range(60)] + [(100 + k, edited(rng, base, 9), "en", "s", 1) for k in range(30)]
+    pairs, want = brute(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[r[0]] for r in rows] == want

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, pieces
 
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>\n"
 # Control strings of chat templates in public use, as first character and rest; "<|" begins all of this template's own.
 CONTROL = r"([<\[])(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 _ESCAPE, _UNESCAPE = re.compile(CONTROL), re.compile(CONTROL.replace(r"(\\*)", r"\\(\\*)"))
 _SEGMENT = re.compile(r"<\|start\|>(.*?)<\|text\|>(.*)<\|end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other)\|>")
 #: Tokens: of an image, one for each square of 28 x 28 pixels; of audio, 25 a second; of a document, 600 a page.
 PIXELS, PER_SECOND, PER_PAGE = 28, 25, 600
 
@@ -41,7 +41,7 @@ def unescape(text: str) -> str:
 
 
 class Flatten:
-    """Visits parts in order; holds the content so far, attachments by position, and tokens that placeholders take up."""
+    """Visits parts in order, by type; holds the content so far, attachments by position, and tokens that placeholders take up."""
 
     def __init__(self) -> None:
         self.out: list[str] = []
@@ -49,7 +49,7 @@ class Flatten:
 
     def visit(self, part: dict | None) -> None:
         kind = (part or {}).get("type") or "text"
-        getattr(self, f"visit_{kind}", self.visit_unknown)(part or {})
+        VISITS.get(kind, Flatten.visit_unknown)(self, part or {})
 
     def visit_text(self, part: dict) -> None:
         # texts that touch are escaped as one, or a control string could be split over two
@@ -69,7 +69,11 @@ class Flatten:
         self.attach("document", part, max(part.get("pages") or 0, 0) * PER_PAGE)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such type of content: {part.get('type')}")
+        """A part of a type that isn't known: its text, if it has any, else a placeholder with its reference, which takes one token."""
+        if part.get("text"):
+            self.visit_text(part)
+        else:
+            self.attach("other", part, 1)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"position": len(self.attachments), "type": kind, "uri": part.get("uri"), "tokens": max(1, tokens)})
@@ -79,6 +83,9 @@ class Flatten:
         return "".join(escape(x) if kind == "text" else x for kind, x in self.out)
 
 
+VISITS = {"text": Flatten.visit_text, "image": Flatten.visit_image, "audio": Flatten.visit_audio, "document": Flatten.visit_document}
+
+
 def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, int, int, list[dict], int]:
     """Segment, start and end of its content where it is under the loss mask (else 0, 0), attachments, tokens they take up."""
     f = Flatten()
@@ -106,12 +113,12 @@ def text_parts(text: str = "text"):
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parts) to (conv_id, turn, segment, loss_start, loss_end, attachments, attachment_tokens), a row per turn.
 
-    A conversation's output is its segments by turn. Null roles and texts are empty; a turn without parts has no content.
+    A conversation's output is its segments by turn. Null roles and texts are empty; a turn without parts has no content; parts of unknown type are
+    their text, or a placeholder.
     """
-    small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = [format_turn(r, p) for r, p in zip(b.column("role").to_pylist(), b.column("parts").to_pylist())]
             s, lo, hi, at, n = zip(*rows) if rows else ([], [], [], [], [])
             kind = pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))
@@ -140,7 +147,7 @@ def digests(segments: DataFrame) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("256") else pa.int64()) for c, n in zip(cols, names)], names)
 
-        for b in batches:
+        for b in pieces(batches):
             for i, s, lo, hi in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end"))):
                 if open_ is None or open_[0] != i:
                     if open_ is not None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,40 +17,39 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 _dirs: dict[str, str] = {}
+_open: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset and all run on one machine, as in tests, a local one."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="vdomain-"))
     return base.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # noqa: BLE001  the session is already gone at exit
-        pass
-
-
 class Scratch:
     """Tables of one operator call, written to the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs one stage, not the job, and the rows are
-    stable across retries. Tables that later ones replace are dropped at once, the rest at exit.
+    stable across retries. Tables that later ones replace are dropped at once. The others serve the
+    operator's lazy result, and go with drop() or released() once that is written, else when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-        atexit.register(_delete_quietly, spark, self.base)
+        fs, path = self._at(self.base)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _open.append(self)
+
+    def _at(self, path: str) -> tuple:
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
     def table(self, df: DataFrame, *replaces: DataFrame) -> DataFrame:
         self.n += 1
@@ -59,13 +58,32 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         for old in replaces:
-            _delete_quietly(self.spark, getattr(old, "_scratch_path", f"{self.base}/none"))
+            if hasattr(old, "_scratch_path"):
+                fs, p = self._at(old._scratch_path)
+                fs.delete(p, True)
         return out
 
+    def drop(self) -> None:
+        fs, p = self._at(self.base)
+        fs.delete(p, True)
+        if self in _open:
+            _open.remove(self)
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts: few rows to an Arrow batch, so that a batch stays in the tens of MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Drops, on leaving without an error, the scratch tables of the operators called inside: what they gave must be written by then."""
+    before = list(_open)
+    yield
+    for s in [s for s in _open if s not in before]:
+        s.drop()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, without a copy: Spark bounds a batch in bytes (64 MB by default), this bounds what a task derives from it at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -116,6 +134,34 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
         yield key, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str, rows: int = 200_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about `rows` rows that hold whole groups, and where each group starts (with the end), from batches sorted by the keys."""
+    held: pa.Table | None = None
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            c = t.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows >= rows:
+            held = held.combine_chunks()
+            at = starts(held)
+            if at[-1]:
+                yield held.slice(0, at[-1]), at
+                held = held.slice(at[-1])
+    if held is not None:
+        held = held.combine_chunks()
+        yield held, np.append(starts(held), held.num_rows)
+
+
 def union_pairs(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of a[i] and b[i] in `parent`, in which each node points to a root that points to itself."""
     while len(a):

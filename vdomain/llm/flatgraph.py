@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 DEGREE, ALPHA, BEAM, MEDOIDS = 20, 1.2, 24, 12
+#: Distance up to which points count as one place: none of them stands for another, as rounding decides which is nearer.
+TIED = 2e-3
 
 
 def medoids(x: np.ndarray, most: int = MEDOIDS, seed: int = 5) -> np.ndarray:
@@ -37,14 +39,17 @@ def prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int = DEG
         sim[(c < 0) | (c == p[:, None])] = -np.inf
         far = np.sqrt(np.maximum(2 - 2 * sim, 0))
         row = np.arange(len(p))
+        tied = far <= TIED
         for k in range(degree):
+            if k == degree // 2:  # the other half leads away
+                sim[tied] = -np.inf
             best = sim.argmax(axis=1)
             alive = np.isfinite(sim[row, best])
             if not alive.any():
                 break
             out[lo : lo + 256][alive, k] = c[row, best][alive]
             near = np.sqrt(np.maximum(2 - 2 * np.einsum("pcd,pd->pc", vec, vec[row, best]), 0))
-            sim[alpha * near <= far] = -np.inf
+            sim[(alpha * near <= far) & ~tied] = -np.inf
             sim[row, best] = -np.inf
     return out
 
@@ -114,23 +119,41 @@ def search(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, q: np.ndarray, be
     return ids, sim, found
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 3) -> np.ndarray:
-    """Adjacency (points x degree, padded by -1)."""
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency (points x 2 * degree, padded by -1), and for points that follow another its place (else -1).
+
+    A point within TIED of one in the graph follows it instead of being inserted: its only neighbour is that one.
+    """
     n = len(x)
-    adj = np.full((n, 2 * degree), -1, np.int32)
+    adj, leader = np.full((n, 2 * degree), -1, np.int32), np.full(n, -1, np.int64)
+    near_enough = 1 - TIED * TIED / 2
     order = np.random.default_rng(seed).permutation(n)
     at = min(n, 2 * degree)
     first = order[:at]
-    adj[first, :degree] = prune(x, first, np.tile(first.astype(np.int32), (at, 1)), degree)
+    sim = x[first] @ x[first].T >= near_enough
+    for k in range(1, at):
+        lead = first[:k][sim[k, :k] & (leader[first[:k]] < 0)]
+        if len(lead):
+            leader[first[k]] = lead[0]
+    first = first[leader[first] < 0]
+    adj[first, :degree] = prune(x, first, np.tile(first.astype(np.int32), (len(first), 1)), degree)
     size = (adj >= 0).sum(axis=1)
     while at < n:
         new = order[at : at + max(32, min(1024, at // 2))]
-        in_graph = order[:at]
+        at += len(new)
+        in_graph = order[: at - len(new)]
+        in_graph = in_graph[leader[in_graph] < 0]
         starts = in_graph[medoids(x[in_graph], 6)]
         for lo in range(0, len(new), 256):
             p = new[lo : lo + 256]
             ids, sim, _ = search(x, adj, starts, x[p], beam)
-            adj[p, :degree] = prune(x, p, np.where(np.isfinite(sim), ids, -1), degree)
+            best = sim.argmax(axis=1)
+            close = sim[np.arange(len(p)), best] >= near_enough
+            leader[p[close]] = ids[np.arange(len(p)), best][close]
+            p, ids, sim = p[~close], ids[~close], sim[~close]
+            if len(p):
+                adj[p, :degree] = prune(x, p, np.where(np.isfinite(sim), ids, -1), degree)
+        new = new[leader[new] < 0]
         size[new] = (adj[new] >= 0).sum(axis=1)
         src, k = np.nonzero(adj[new] >= 0)
         target, source = adj[new][src, k], new[src]
@@ -147,5 +170,19 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 3)
             adj[t] = -1
             adj[t, :degree] = prune(x, np.array([t]), cand.astype(np.int32), degree)[0]
             size[t] = (adj[t] >= 0).sum()
-        at += len(new)
-    return adj
+    follow = np.flatnonzero(leader >= 0)
+    adj[follow, 0] = leader[follow]
+    return adj, leader
+
+
+def followed(found: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """Pairs (query, point) with those of the points that follow the ones found; each pair once."""
+    n = len(leader)
+    follow = np.argsort(leader, kind="stable")
+    follow = follow[leader[follow] >= 0]
+    begin, end = np.searchsorted(leader[follow], found[:, 1]), np.searchsorted(leader[follow], found[:, 1], "right")
+    count = end - begin
+    a = np.repeat(found[:, 0], count)
+    b = follow[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
+    code = np.unique(np.concatenate((found[:, 0].astype(np.int64) * n + found[:, 1], a.astype(np.int64) * n + b)))
+    return np.stack((code // n, code % n), 1)

@@ -1,21 +1,26 @@
 """Exact top-k search over 64-bit codes by incremental multi-index hashing, with SQL functions only.
 
-A code is four segments of 16 bits, each an index key. A query first looks up keys near its own in every
-segment; rings of larger radius follow, segment by segment, for the queries that still need them. Once the
-segments have been searched to radii r1..r4, every code at a distance up to (r1+1)+..+(r4+1)-1 has been met, so a query is done
+A code is cut into segments about as wide as the index is large, each an index key. A query first looks up keys near its own in every
+segment; rings of larger radius follow for the queries that still need them, in as many segments as they need. Once the m
+segments have been searched to radii r1..rm, every code at a distance up to (r1+1)+..+(rm+1)-1 has been met, so a query is done
 when its kth verified distance is no more than that. Candidates farther than the kth so far never leave the join.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
-SEGMENTS, WIDTH = 4, 16
-#: Radius up to which all segments are searched at once at the start.
-AT_ONCE = 2
+BITS = 64
+#: Radius up to which all segments are searched at the start.
+AT_ONCE = 1
+#: Keys of a ring that a segment is asked for, at most; queries that need a larger ring go on with four segments of 16 bits, whose rings are all smaller.
+MOST_MASKS, FALLBACK = 30_000, [(0, 16), (16, 16), (32, 16), (48, 16)]
 
 
 def sign_code(vector: str = "embedding") -> Column:
@@ -23,8 +28,16 @@ def sign_code(vector: str = "embedding") -> Column:
     return F.when(F.col(vector).isNotNull(), F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> a | if(coalesce(get({vector}, i), 0) > 0, shiftleft(1L, i), 0L))"))
 
 
-def segment(code: str, k: Column | str) -> Column:
-    return F.expr(f"cast(shiftrightunsigned({code}, {WIDTH} * {k}) & {(1 << WIDTH) - 1} as int)")
+def segments_of(n: int) -> list[tuple[int, int]]:
+    """Shift and width of each segment, about as wide as log2 of the number of codes, so that a key holds about one code."""
+    m = max(3, min(8, round(BITS / math.log2(n + 2))))
+    cuts = [BITS * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def masks(width: int, least: int, most: int) -> list[int]:
+    """Values of `width` bits with `least` to `most` of them set."""
+    return [sum(1 << b for b in bits) for r in range(least, min(most, width) + 1) for bits in combinations(range(width), r)]
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -39,40 +52,41 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # only a code's k smallest ids can be among anyone's k nearest; the limit is applied before rows are shuffled
     few = codes.where("code is not null").select("id", "code").withColumn("nth", F.row_number().over(by_code)).where(F.col("nth") <= k)
     held = scratch.table(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("ids")))
-    index = scratch.table(held.select("code", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("seg")).withColumn("key", segment("code", "seg")))
     wanted = queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q"))
-    asked = scratch.table(wanted.select("q").distinct())
-    state = scratch.table(asked.select("q", F.lit(64).alias("bound")))
+    state = scratch.table(wanted.select("q").distinct().select("q", F.lit(BITS).alias("bound")))
     best: DataFrame | None = None
-    steps = [(AT_ONCE, None)] + [(r, s) for r in range(AT_ONCE + 1, WIDTH + 1) for s in range(SEGMENTS)]
-    radius = [0] * SEGMENTS
     done: DataFrame | None = None
-    for r, s in steps:
-        rings = f"bit_count(m) = {r}" if s is not None else f"bit_count(m) <= {r}"
-        masks = F.expr(f"filter(sequence(0, {(1 << WIDTH) - 1}), m -> {rings})")
-        segs = F.array(*[F.lit(x) for x in (range(SEGMENTS) if s is None else [s])])
-        probes = state.select("q", "bound", F.explode(segs).alias("seg")).select("q", "bound", "seg", F.explode(masks).alias("m")).withColumn("key", segment("q", "seg").bitwiseXOR(F.col("m")))
-        met = probes.join(index, ["seg", "key"]).where(F.expr("bit_count(q ^ code) <= bound")).select("q", "code", F.expr("bit_count(q ^ code)").alias("distance")).distinct()
-        rows = met.join(held, "code").select("q", "distance", F.explode("ids").alias("x")).select("q", "distance", F.col("x.id").alias("id"))
-        if best is not None:
-            rows = rows.union(best.select("q", "distance", "id")).distinct()
-        order = Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_last())
-        new = scratch.table(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        radius = [r] * SEGMENTS if s is None else [r if x == s else y for x, y in enumerate(radius)]
-        covered = sum(radius) + SEGMENTS - 1
-        kth = new.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n"))
-        after = scratch.table(state.select("q").join(kth, "q", "left").select("q", F.when(F.col("n") >= k, F.col("far")).otherwise(64).cast("int").alias("bound")))
-        finished = new.join(after.where(F.col("bound") <= covered), "q", "left_semi")
-        last = covered >= 64
-        finished = scratch.table(new if last else finished)
-        done = finished if done is None else done.union(finished)
-        if last:
-            break
-        state = scratch.table(after.where(F.col("bound") > covered).select("q", "bound"), state, after)
-        if state.isEmpty():
-            break
-        best = new
-    return wanted.join(done, "q").select("query_id", "rank", "id", "distance")
+    usual = segments_of(held.count())
+    for segments in [usual] if len(usual) >= len(FALLBACK) else [usual, FALLBACK]:
+        m, widest = len(segments), max(w for _, w in segments)
+        key = lambda code, s: F.shiftrightunsigned(F.col(code), segments[s][0]).bitwiseAND(F.lit((1 << segments[s][1]) - 1))  # noqa: B023, E731
+        index = scratch.table(held.select("code", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), key("code", s).alias("key")) for s in range(m)))).alias("x")).select("code", "x.seg", "x.key"))
+        for r in range(AT_ONCE, widest + 1):
+            lo = 0 if r == AT_ONCE else r
+            if math.comb(widest, r) > MOST_MASKS:
+                break
+            # with all segments searched to r - 1 and the first t to r, all codes up to m * r + t - 1 have been met: a query searches as many as its kth distance asks for
+            state = state.withColumn("t", F.greatest(F.lit(1), F.least(F.lit(m), F.col("bound") - m * r + 1)) if lo else F.lit(m))
+            probe = lambda s: F.transform(F.lit(masks(segments[s][1], lo, r)).cast("array<bigint>"), lambda x: F.struct(F.lit(s).alias("seg"), key("q", s).bitwiseXOR(x).alias("key")))  # noqa: B023, E731
+            none = F.array().cast("array<struct<seg:int,key:bigint>>")
+            asked = state.repartition(partitions(spark), "q").select("q", "bound", F.explode(F.concat(*(F.when(F.col("t") > s, probe(s)).otherwise(none) for s in range(m)))).alias("x")).select("q", "bound", "x.seg", "x.key")
+            distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+            met = asked.join(index, ["seg", "key"]).where(distance <= F.col("bound")).select("q", "code", distance.alias("distance")).distinct()
+            rows = met.join(held, "code").select("q", "distance", F.explode("ids").alias("x")).select("q", "distance", F.col("x.id").alias("id"))
+            if best is not None:
+                rows = rows.union(best.select("q", "distance", "id")).distinct()
+            order = Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_last())
+            new = scratch.table(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+            kth = new.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n"))
+            after = scratch.table(state.select("q", "t").join(kth, "q", "left").select("q", F.when(F.col("n") >= k, F.col("far")).otherwise(BITS).cast("int").alias("bound"), (m * r + F.col("t") - 1).alias("covered")))
+            found = F.lit(r == widest) | (F.col("bound") <= F.col("covered"))
+            finished = scratch.table(new.join(after.where(found), "q", "left_semi"))
+            done = finished if done is None else done.union(finished)
+            state = scratch.table(after.where(~found).select("q", "bound"), after)
+            best = new
+            if r == widest or state.isEmpty():
+                return wanted.join(done, "q").select("query_id", "rank", "id", "distance")
+    raise AssertionError("the last segments are searched to their whole width")
 
 
 ORACLE = """

@@ -19,7 +19,7 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 #: Ranges that a source's keys are dealt into.
 RANGES = 4096
-WORDS = "[^\\x20\\x09-\\x0D]+"
+WORDS, SPACE = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
 
 
 def n_words(text: str | Column = "text") -> Column:
@@ -55,17 +55,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") > F.col("cap")), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, ranges: int = RANGES) -> DataFrame:
-    """doc_id, source, text_key (to tell rows with one id apart), size, source_size, target, taken.
-
-    Null text has no words, so none are taken. A null source is a source of its own, after the others.
-    Repeated ids share a draw, and are told apart by size and text; rows equal in all that are taken alike or
-    in the order in which they come, which makes the same rows. An empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    size = n_words()
+def _taken(rows: DataFrame, quality_of: Column, weights: tuple[int, ...], most: int, ranges: int, scratch: Scratch) -> DataFrame:
+    """(rid, doc_id, source, text) to rid, doc_id, source, size, source_size, target, taken. Rows that share a draw are in order of id, size, text and rid."""
     rows = scratch.table(
-        docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), size.alias("size"), quality(size).cast("double").alias("q"))
+        rows.select("rid", "doc_id", "source", F.xxhash64("text").alias("text_key"), n_words().alias("size"), quality_of.cast("double").alias("q"))
         .withColumn("key", -F.log(uniform()) / F.col("q"))
         .withColumn("range", F.floor(F.exp(-F.col("key")) * -ranges).cast("int"))
         .drop("q")
@@ -76,32 +69,52 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     t = by_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("budget", (F.floor(F.col("target")) - F.col("epochs") * F.col("source_size")).cast("long"))
     a, b = ahead.alias("a"), t.alias("t")
     offsets = a.join(b, F.col("a.source").eqNullSafe(F.col("t.source"))).select(F.col("a.source").alias("o_source"), F.col("range").alias("o_range"), "ahead", "source_size", "target", "epochs", "budget")
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_key", "rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = rows.withColumn("inside", inside).join(offsets, rows.source.eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
     room = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("inside")))
-    return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + room).alias("taken"))
+    return joined.select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + room).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, ranges: int = RANGES, quality_of: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: a row per row of `docs`. quality_of: the weight of a document, greater than 0; quality() unless told otherwise.
+
+    Null text has no words, so none are taken. A null source is a source of its own, after the others.
+    Repeated ids share a draw, and are told apart by size and text; rows equal in all that are taken alike or
+    in the order in which they come, which makes the same rows. An empty table gives no rows.
+    """
+    rows = docs.select("doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())
+    return _taken(rows, quality(n_words()) if quality_of is None else quality_of, weights, most, ranges, Scratch(docs.sparkSession, "mixing")).drop("rid")
+
+
+def first_words(text: str, n: str | Column) -> Column:
+    """The text up to the end of its nth word, as it stands."""
+    c = F.col(text)
+    # pieces begin where a word does; white space before the first word is a piece of its own
+    parts = F.split(c, f"(?<={SPACE})(?={WORDS[:-1]})")
+    own = F.slice(parts, F.lit(1), (n + F.when(c.rlike(f"^{SPACE}"), 1).otherwise(0)).cast("int"))
+    return F.regexp_replace(F.array_join(own, ""), f"{SPACE}+$", "")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, ranges: int = RANGES) -> DataFrame:
     """The mix as rows of `docs`: each document once per whole time that it is taken, and once more with its first words if in part.
 
-    Rows that are equal in id, source and text count together. n_chars follows the text.
+    A part ends with its last word, and is otherwise as it stands in the text; n_chars follows the text. Rows are told apart by place, so
+    those with one id, or none, count each for itself. Other columns may have any name and type. Documents without words aren't taken.
     """
-    m = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "text_key", "size").agg(F.sum("taken").alias("taken"))
-    m = m.select(*[F.col(c).alias(f"_{c}") for c in m.columns])
-    # one row stands for equal rows
-    d = docs.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_key"])
-    j = d.join(m, d.doc_id.eqNullSafe(m._doc_id) & d.source.eqNullSafe(m._source) & (d._key == m._text_key))
-    parts = F.concat(F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<bigint>")))
-    j = j.withColumn("_n", F.explode(parts))
-    # in part: up to the end of the nth word
-    cut = F.regexp_extract("text", "", 0)
-    cut = F.expr("array_join(slice(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), 1, cast(_n as int)), ' ')")
-    part = F.col("_n") < F.col("_size")
-    new = {"text": F.when(part, cut).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(part, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return j.withColumns(new).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    names = docs.columns
+    held = scratch.table(docs.select(*(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)), F.monotonically_increasing_id().alias("rid")))
+    at = {c: f"_c{k}" for k, c in enumerate(names)}
+    rows = held.select("rid", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")))
+    taken = _taken(rows, quality(n_words()), weights, most, ranges, scratch).where("taken > 0").select("rid", "size", "taken")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    parts = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    j = held.join(taken, "rid").withColumn("n", F.explode(parts))
+    part, cut = F.col("n") < F.col("size"), first_words(at["text"], F.col("n"))
+    j = j.withColumn(at["text"], F.when(part, cut).otherwise(F.col(at["text"])))
+    if "n_chars" in at:
+        j = j.withColumn(at["n_chars"], F.when(part, F.length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"])))
+    return j.select(*(F.col(at[c]).alias(c) for c in names))
 
 
 ORACLE = """

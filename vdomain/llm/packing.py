@@ -9,7 +9,7 @@ histogram of at most `length / width` classes reaches the driver, whatever the c
 
 from __future__ import annotations
 
-import base64
+import warnings
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, texts_of
+from .common import Scratch, pieces, texts_of
 
 LENGTH, WIDTH, END = 2048, 16, 1
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,53 +35,53 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids as the tokenizer file gives them, as little-endian unsigned 32-bit bytes.
 
-    A single space between two characters that aren't white space always begins a new token, so a text is cut there
-    and each piece's ids are remembered. Pieces are merged by the same vocabulary's ranks; texts with other
-    spacing go whole through the ranks, and texts with a special token's string through the tokenizer file itself.
+    All ids come from the tokenizer. Where a single space between two characters that aren't white space always begins a new token, a text is
+    cut there, and each piece is encoded once and remembered; whether that holds for the tokenizer is tried out on PROBES at the start. Texts with
+    other spacing or with a special token's string, and all texts if it doesn't hold, are encoded whole.
     """
 
     MOST = 400_000
+    PROBES = ("a b", "The quick brown fox, it's 12 o'clock (or 3.50 $)!", "don't I'll we'VE x' y", "é ñ ß 漢字 かな 🙂 🙂🙂 zł", "a1 2b 33c d_e f-g #h @i", "http://x.y/z?a=b c:d \\n", "A B C . , ; : ! ? ' \" 's 're", "word's 's word ' s", "ÅÄÖ ijk LMN 0 00 000 0000")
 
-    def __init__(self, tokenizer: str | None = None, ranks: str | None = None):
-        import tiktoken
-        from public_tokenizers import PATTERN
+    def __init__(self, tokenizer: str | None = None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer or tokenizer_path(TOKENIZER))
-        with open(ranks or tokenizer_path(RANKS), "rb") as f:
-            of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=of, special_tokens={}).encode_ordinary
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.spaced = regex.compile(r"(?:^|\s) | (?:\s|$)")
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.by_piece = all(self._pieces(p) == self._whole(p) for p in self.PROBES)
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.spaced.search(text):
-            return np.array(self.merge(text), "<u4").tobytes()
-        pieces = text.split(" ")
-        known = self.pieces
-        if len(known) > self.MOST:
-            known.clear()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if len(self.known) > self.MOST:
+            self.known.clear()
         # the first piece has no space before it
-        for w in set(pieces[1:]).difference(known):
-            known[w] = np.array(self.merge(" " + w), "<u4").tobytes()
-        return b"".join(chain((np.array(self.merge(pieces[0]), "<u4").tobytes(),), map(known.__getitem__, pieces[1:])))
+        new = list(set(rest).difference(self.known))
+        for w, e in zip(new, self.whole.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(chain((self._whole(first),), map(self.known.__getitem__, rest)))
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_piece or any(s in text for s in self.special) or self.spaced.search(text):
+            return self._whole(text)
+        return self._pieces(text)
 
 
-def cut(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: str | None = None) -> DataFrame:
     """Pieces of each document: doc_id, start, length, ids_crc32, doc_tokens, class (of its length), part and nth (place in its class within the task)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer, ranks)
+        encode = Encoder(tokenizer)
         part = TaskContext.get().partitionId()
         count = np.zeros(length // width + 2, np.int64)
         end = np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in pieces(batches):
             out: list[tuple] = []
             for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
                 ids = encode(t.decode()) + end
@@ -100,7 +100,7 @@ def cut(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: st
 # --- cutting stock on the driver: sizes 1..capacity, numbers of pieces --------------------------------
 
 
-def best_pattern(price: np.ndarray, capacity: int, most: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+def best_pattern(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The multiset of sizes (index + 1) with the highest total price that fits, by dynamic programming over capacities."""
     value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     useful = np.flatnonzero(price > 1e-12)
@@ -143,6 +143,8 @@ def columns(counts: np.ndarray, capacity: int, most_rounds: int = 3000) -> tuple
         use = np.maximum(use, 0)
         ratio = np.where(change > 1e-9, use / np.where(change > 1e-9, change, 1), np.inf)
         basis[:, int(ratio.argmin())] = pattern[sizes]
+    else:
+        warnings.warn(f"the linear program hasn't settled in {most_rounds} rounds: the packing is whole, but may take more sequences", stacklevel=2)
     use = np.maximum(np.linalg.solve(basis, need), 0)
     patterns = np.zeros((m, capacity), np.int64)
     patterns[:, sizes] = np.rint(basis.T).astype(np.int64)
@@ -190,7 +192,7 @@ def places(patterns: np.ndarray, uses: np.ndarray) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     Each row of `docs` is a document, repeated and null ids too. Null or empty text is the end id alone. An empty table gives no
@@ -198,8 +200,8 @@ def pack(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: s
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.table(cut(docs, length, width, tokenizer, ranks))
-    by_part = scratch.table(pieces.groupBy("class", "part").agg(F.count("*").alias("n")))
+    cuts = scratch.table(cut(docs, length, width, tokenizer))
+    by_part = scratch.table(cuts.groupBy("class", "part").agg(F.count("*").alias("n")))
     counts = np.zeros(length // width, np.int64)
     for r in by_part.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most length / width rows
         counts[r["class"] - 1] = r.n
@@ -207,7 +209,7 @@ def pack(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, tokenizer: s
     rows = places(patterns, uses) or [(0, 0, 0, 0, 1)]
     table = spark.createDataFrame(rows, "p_class int, first long, after long, base long, each long")
     ahead = by_part.select("class", "part", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(ahead, ["class", "part"]).withColumn("rank", F.col("ahead") + F.col("nth"))
+    ranked = cuts.join(ahead, ["class", "part"]).withColumn("rank", F.col("ahead") + F.col("nth"))
     # ranges of one class, sorted: each piece finds its own by the last range that begins at or before its rank
     ranges = table.groupBy("p_class").agg(F.array_sort(F.collect_list(F.struct("first", "base", "each"))).alias("ranges"))
     found = ranked.join(F.broadcast(ranges), F.col("class") == F.col("p_class"))

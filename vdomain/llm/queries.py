@@ -70,4 +70,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op6_hamming_top_k": hamming.ORACLE, "op7_chat_formatting": chat.ORACLE, "op8_warc_revisits": warc.ORACLE}
+ORACLE_SQL = {"op1_embedding_near_dedup": vectors.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op5_mixing": mixing.ORACLE, "op6_hamming_top_k": hamming.ORACLE, "op7_chat_formatting": chat.ORACLE, "op8_warc_revisits": warc.ORACLE}

@@ -1,9 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: min-hash bands propose pairs, exact similarity decides.
+"""Exact similarity of documents, for the near-duplicates that fingerprints within a few bits leave in.
 
-Texts of the same words are one node. 200 min-hashes in 40 bands of 5 leave out a pair of similarity 0.8 with probability
-1.3e-7, and one of higher similarity less often; the estimate from all 200 leaves out a proposed one with about 1e-9. What is
-left is compared by its shingles. First each node meets the least and the greatest node of each of its bands, which joins
-large groups of copies by few pairs; then all nodes of a band that these links haven't joined meet each other.
+Texts are compared by the Jaccard similarity of their sets of five-word shingles. 200 min-hashes in 40 bands of 5 leave out a pair at
+the threshold of 0.8 with probability 1.3e-7, and one of higher similarity less often. Two bits of each min-hash estimate the
+similarity of what a band brings together, and leave out a pair at the threshold with about 3e-7. What is left is compared by
+its shingles.
 """
 
 from __future__ import annotations
@@ -17,26 +17,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, signed, small_batches, texts_of
-from .components import connected_components
+from .common import Scratch, WordHashes, partitions, pieces, signed, texts_of, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
-#: Six standard deviations of the estimate at the threshold.
-SLACK = 6 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
+HASHES = BANDS * ROWS
+#: Bytes of a signature, two bits a min-hash in whole 64-bit words.
+SIGNATURE = -(-HASHES // 32) * 8
+#: Standard deviations of the estimate at the threshold that a pair may lack.
+DEVIATIONS = 5
+#: Rows of a band that are compared at once with as many others; larger bands are dealt out in blocks.
+BLOCK = 1024
+#: Pairs with one document that a task verifies, about.
+VERIFIED = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SALT = np.random.default_rng(23).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_SALT = np.random.default_rng(23).integers(0, 1 << 64, (2, HASHES), np.uint64)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_LOW_BITS = np.uint64(0x5555555555555555)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def key_of(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words))
-
-
 def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of five consecutive words; of all words where there are fewer."""
     h = hashes.of(words)
@@ -50,64 +53,147 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Low 16 bits of each min-hash."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def least_hashes(s: np.ndarray) -> np.ndarray:
+    """The 200 min-hashes of a set of shingles."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(s), 256):
         np.minimum(least, ((s[lo : lo + 256, None] ^ _SALT[0]) * (_SALT[1] | np.uint64(1))).min(axis=0), out=least)
-    return (least & np.uint64(0xFFFF)).astype("<u2")
+    return least
 
 
-def _keyed(docs: DataFrame, text: str, column: str) -> DataFrame:
-    """`docs` and a long with the hash of its text's words (null text: no words)."""
-    small_batches(docs.sparkSession)
-    schema = docs.select("*", F.lit(0).cast("long").alias(column))._jdf.schema().toDDL()
+def majority(s: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(s), 65536):
+        ones += np.unpackbits(s[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little")
+
+
+def signatures(least: np.ndarray) -> np.ndarray:
+    """Two bits of each min-hash (rows of 200), 32 to a word."""
+    two = np.zeros((len(least), SIGNATURE * 4), np.uint64)
+    two[:, :HASHES] = (least >> np.uint64(40)) & np.uint64(3)
+    return (two.reshape(len(least), -1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the min-hashes of two signatures differ in their two bits."""
+    d = x ^ y
+    return np.bitwise_count((d | (d >> np.uint64(1))) & _LOW_BITS).sum(axis=-1, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.fromiter((key_of(words_of(t)) for t in texts_of(b.column(text))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signed(keys))], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+def most_differing(similarity: float) -> float:
+    p = 0.75 * (1 - similarity)
+    return HASHES * (p + DEVIATIONS * (p * (1 - p) / HASHES) ** 0.5)
 
 
-def _signed_nodes(keyed: DataFrame) -> DataFrame:
-    """(id, text, key) to id, key, n distinct shingles, sig."""
+def sketched(texts: DataFrame) -> DataFrame:
+    """(rid, id, text) to rid, id, k1 and k2 (128 bits of the text's words), n shingles, bands (40 hashes), sig, fp (SimHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
-            n, sig = [], []
-            for t in texts_of(b.column("text")):
-                s = shingles(words_of(t), hashes)
-                n.append(len(s))
-                sig.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["id", "key", "n", "sig"])
+        for b in pieces(batches):
+            size = b.num_rows
+            key, n, least, fp = np.zeros((size, 2), np.uint64), np.zeros(size, np.int32), np.zeros((size, HASHES), np.uint64), np.zeros(size, np.uint64)
+            for k, t in enumerate(texts_of(b.column("text"))):
+                w = words_of(t)
+                key[k] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.uint64)
+                s = shingles(w, hashes)
+                n[k], least[k], fp[k] = len(s), least_hashes(s), majority(s)
+            bands = np.zeros((size, BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = (bands ^ least[:, r::ROWS]) * _FACTORS[r]
+                bands ^= bands >> np.uint64(31)
+            sig = signatures(least)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), b.column("id"), pa.array(signed(key[:, 0])), pa.array(signed(key[:, 1])), pa.array(n), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(signed(fp))],
+                ["rid", "id", "k1", "k2", "n", "bands", "sig", "fp"])
+
+    kind = texts.select("rid", "id", *(F.lit(0).cast("long").alias(x) for x in ("k1", "k2")), F.lit(0).cast("int").alias("n"), F.lit(b"").alias("bands"), F.lit(b"").alias("sig"), F.lit(0).cast("long").alias("fp"))
+    return texts.mapInArrow(run, kind._jdf.schema().toDDL())
+
+
+def banded(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """nodes (node, n, sig, bands) to (band, members, node, n, sig) for bands that more than one node is in."""
 
-    return keyed.mapInArrow(run, keyed.select("id", "key", F.lit(0).cast("int").alias("n"), F.lit(b"").alias("sig"))._jdf.schema().toDDL())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(BANDS, dtype=np.uint64)
+        for b in pieces(batches, 4096):
+            # the band's number is mixed in, so that equal hashes of two bands stay apart
+            h = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint64).reshape(b.num_rows, BANDS) * np.uint64(0x9E3779B97F4A7C15) + number
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h.ravel())), pa.array(np.repeat(b.column("node").to_numpy(), BANDS))], ["band", "node"])
 
+    bands = nodes.where("n > 0").select("node", "bands").mapInArrow(run, "band long, node long")
+    shared = scratch.table(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"))
+    members = bands.join(shared, "band")
+    return scratch.table(members.join(nodes.select("node", "n", "sig"), "node"))
 
-def _promising(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose min-hashes don't speak against it."""
-    side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                own = pa.array((x == y).mean(axis=1) >= similarity - SLACK)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(own), b.column("b").filter(own)], ["a", "b"])
+def _signature_rows(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, -1)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
+def leads(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): for each node the least and the greatest node that shares a block of a band with it and that it may be similar to."""
+    n = partitions(members.sparkSession)
+    dealt = members.withColumn("i", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int")).select("band", "i", "node", "n", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = most_differing(similarity)
+        for t, starts in whole_groups(batches, "band", "i", rows=50_000):
+            node, size, sig = t.column("node").to_numpy(), t.column("n").to_numpy(), _signature_rows(t)
+            long = np.diff(starts)
+            for lead in (np.repeat(starts[:-1], long), np.repeat(starts[1:] - 1, long)):
+                ok = (node != node[lead]) & (np.minimum(size, size[lead]) >= similarity * np.maximum(size, size[lead])) & (differing(sig, sig[lead]) <= most)
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(node[lead][ok])], ["node", "lead"])
+
+    found = dealt.repartition(n, "band", "i").sortWithinPartitions("band", "i", "node").mapInArrow(run, "node long, lead long")
+    own = found.groupBy("node").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    return own.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
+
+
+def apart(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes of one band that may be similar and that (node, root) hasn't joined yet. Bands of one root give nothing."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # block p meets block q for p <= q: a row goes to every pair that its block is in
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    dealt = rooted.join(mixed, "band").withColumn("blocks", blocks).withColumn("own", own).select("band", F.explode(pair).alias("p"), "own", "node", "root", "n", "sig").select("band", "p.i", "p.j", (F.col("own") == F.col("p.i")).alias("left"), "node", "root", "n", "sig")
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those pairs whose shingles have at least that Jaccard similarity. docs: text, key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = most_differing(similarity)
+        for t, starts in whole_groups(batches, "band", "i", "j", rows=20_000):
+            node, root, size, left = (t.column(c).to_numpy() for c in ("node", "root", "n", "left"))
+            sig, same = _signature_rows(t), t.column("i").to_numpy() == t.column("j").to_numpy()
+            for lo, hi in zip(starts, starts[1:]):
+                x = np.arange(lo, hi)
+                p, q = (x, x) if same[lo] else (x[left[lo:hi]], x[~left[lo:hi]])
+                for at in range(0, len(p), 256):
+                    k = p[at : at + 256]
+                    small, large = np.minimum(size[k][:, None], size[q]), np.maximum(size[k][:, None], size[q])
+                    a, b = np.nonzero((root[k][:, None] != root[q]) & (small >= similarity * large) & ((node[k][:, None] < node[q]) | ~same[lo]))
+                    ok = differing(sig[k[a]], sig[q[b]]) <= most
+                    a, b = node[k[a[ok]]], node[q[b[ok]]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    n = partitions(members.sparkSession)
+    return dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) whose shingles have at least that Jaccard similarity. texts: node, text."""
     pairs = scratch.table(pairs)
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = scratch.table(docs.join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = scratch.table(texts.join(asked, "node"))
+    # a node with many pairs is dealt out with copies of its text
+    salts = F.ceil(F.col("pairs") / VERIFIED).cast("int")
+    many = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("pairs")
+    firsts = own.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(many, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("pairs")
+    both = salted.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(firsts, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), OrderedDict()
@@ -119,55 +205,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scr
                 held[key] = shingles(words_of(text), hashes)
             return held[key]
 
-        for b in batches:
-            a, z = b.column("a").to_pylist(), b.column("b").to_pylist()
+        for b in pieces(batches):
             ok = []
-            for p, q, s, t in zip(a, z, texts_of(b.column("ta")), texts_of(b.column("tb"))):
+            for p, q, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), texts_of(b.column("ta")), texts_of(b.column("tb"))):
                 x, y = of(p, s), of(q, t)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            own = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(own), b.column("b").filter(own)], ["a", "b"])
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of `docs`: id, key long (of its words), component_id (smallest id that links reach).
-
-    Null and wordless texts are one node. A null id takes part in links but names no component of rows that have ids.
-    """
-    scratch = Scratch(docs.sparkSession, "similar")
-    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "key")
-    rows = scratch.table(_signed_nodes(keyed))
-    nodes = scratch.table(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.min("n").alias("n"), F.min("sig").alias("sig")))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bands = nodes.where("n > 0").select("key", band.alias("band"))
-    ends = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    members = scratch.table(bands.join(ends, "band"))
-    ordered = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.select(F.explode(F.array(ordered("key", "least"), ordered("key", "most"))).alias("p")).select("p.*").where("a < b").distinct()
-    first = _verified(_promising(star, nodes, similarity), keyed, similarity, scratch)
-    joined = scratch.table(connected_components(first, scratch))
-    # what a band holds of different groups, all against all
-    apart = members.join(joined, members.key == joined.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = apart.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    apart = scratch.table(apart.join(mixed, "band"))
-    x, y = apart.select("band", F.col("key").alias("a"), F.col("root").alias("ra")), apart.select("band", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "band").where("a < b and ra <> rb").select("a", "b").distinct()
-    second = _verified(_promising(rest, nodes, similarity), keyed, similarity, scratch)
-    roots = scratch.table(connected_components(first.union(second), scratch))
-    named = nodes.join(roots, nodes.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.select("id", "key").join(named.join(lowest, "root").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "key", "component_id")
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each component: the one with the smallest id (of equal ids, the smallest text hash, once)."""
-    scratch = Scratch(docs.sparkSession, "similar-drop")
-    parts = scratch.table(similar_components(docs, id_col, text, similarity))
-    keep = parts.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("key"))).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.key").alias("_key"))
-    rows = _keyed(docs, text, "_own_key")
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["_id"]) & (rows["_own_key"] == keep["_key"]), "left_semi")
-    once = kept.groupBy(F.col(id_col).alias("_id"), "_own_key").agg(F.min(F.struct(F.xxhash64(text).alias("_h"), F.struct(*docs.columns).alias("_row"))).alias("_least"))
-    return once.select("_least._row.*").select(*docs.columns)

@@ -1,41 +1,34 @@
 """Substring dedup: words inside a window that also starts earlier in the corpus are removed.
 
-Level-wise doubling. A window of `window` words can only repeat if the window of half that length
-that it contains and that has the least hash among its halves repeats too, so level one looks at
-those alone (a window's text alone decides which one it is). Only windows whose half is found at two
-or more places are extended to twice the length and compared in full; longer levels have nothing to
-add, as a longer repeat is made of repeats of `window` words.
-
-Each level is one exchange of packed blobs: a map task first settles what it can on its own (of equal
-windows only the earliest leaves the task), then sends each hash bucket one blob. A hash that a third of all
-documents hold therefore reaches its bucket once from each map task.
+Level-wise doubling. Level one asks which runs of half a window's length stand at more than one place; of the halves
+in a window only the one with the least hash is asked for, which the window's words alone decide, so a window can only repeat if that one
+does. Windows whose half repeats are extended to their whole length, twice the half's, and asked for in turn; those that repeat are
+extended to twice that length where both halves repeat, and so on until no candidates survive. What is removed is settled
+at the window's own length; longer levels tell how long the repeats are.
+
+Each level is one exchange. A map task, which is a part of the corpus, numbers its distinct runs and sends each once, with
+a mark if it stands at two places there, so a run that a third of all documents hold goes to its reducer once from each part;
+the answers go back to the part, whose documents have kept their runs' numbers. Runs are told apart by 128 bits of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, grouped, partitions, small_batches, texts_of
+from .common import Scratch, WordHashes, partitions, pieces, signed, texts_of
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Windows that a bucket should hold, and the most buckets; beyond those, buckets grow.
-PER_BUCKET, MOST_BUCKETS = 2_000_000, 1 << 16
-#: Bytes of text that a map task gathers before it sends blobs.
-FLUSH_WORDS = 4_000_000
-
-
-def _powers(n: int) -> np.uint64:
-    p = 1
-    for _ in range(n):
-        p = p * int(BASE) & 0xFFFFFFFFFFFFFFFF
-    return np.uint64(p)
+#: Bases of the two polynomials over words' hashes that make a run's 128 bits.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Runs that a task gathers into one part.
+PART_RUNS = 4_000_000
+_WORD = np.dtype("<i8")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,321 +37,363 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n word hashes, by doubling: a run is hashed from its two halves."""
+def doubled(first: np.ndarray, second: np.ndarray, words: int, base: int) -> np.ndarray:
+    """Hash of runs made of two, of which the second has `words` words."""
+    return first * np.uint64(pow(base, words, 1 << 64)) + second
+
+
+def run_hashes(words: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
+    """Hash of each run of n word hashes, by doubling."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     if n == 1:
         return words
-    half = window_hashes(words, n // 2)
-    m = len(words) - n + 1
-    h = half[:m] * _powers(n // 2) + half[n // 2 : n // 2 + m]
-    return h if n % 2 == 0 else h * BASE + words[n - 1 : n - 1 + m]
+    half, m = run_hashes(words, n // 2, base), len(words) - n + 1
+    h = doubled(half[:m], half[n // 2 : n // 2 + m], n // 2, base)
+    return h if n % 2 == 0 else doubled(h, words[n - 1 : n - 1 + m], 1, base)
 
 
-def minimizers(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def least_halves(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of a document the position of its least half, and the hashes of all halves."""
-    halves = _mix(window_hashes(words, window // 2))
-    span = window - window // 2 + 1
+    halves = _mix(run_hashes(words, window // 2))
     if len(words) < window:
         return np.zeros(0, np.int64), halves
-    least = np.lib.stride_tricks.sliding_window_view(halves, span)
+    least = np.lib.stride_tricks.sliding_window_view(halves, window - window // 2 + 1)
     return least.argmin(axis=1) + np.arange(len(least)), halves
 
 
-def content_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
-
-
-def doc_key(doc_id: int | None, content: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d|%d" % (content, -1 if doc_id is None else doc_id), 1 if doc_id is None else 0) >> 1
+def content_key(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of a text's words, as two signed longs; they also order documents of one id."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), _WORD).tolist())
 
 
 def kept_sha256(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _survey(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """One row per document (bucket null) and one per bucket and flush with the hashes of least halves in it."""
+def packed(*columns: np.ndarray) -> bytes:
+    """8-byte columns of one length, one after the other."""
+    return b"".join(np.ascontiguousarray(c).astype(c.dtype if c.dtype.itemsize == 8 else np.int64, copy=False).tobytes() for c in columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        hs: list[np.ndarray] = []
-        ks: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
-        held = 0
-
-        def flush() -> pa.RecordBatch | None:
-            if not hs:
-                return None
-            h, k = np.concatenate(hs), np.concatenate(ks)
-            return blobs(h, buckets, [h, k])
 
-        for b in batches:
-            ids = b.column("id").to_pylist()
-            rows = []
-            for i, t in zip(ids, texts_of(b.column("text"))):
-                w = t.split()
-                c = content_key(w)
-                k = doc_key(i, c)
-                rows.append((k, i, c, len(w), kept_sha256(w)))
-                # of copies that one task meets, the one seen first stands for the text; the reducer knows copies by content
-                if len(w) < window or (c, 0) in seen:
-                    continue
-                seen.add((c, 0))
-                at, halves = minimizers(words.of(w), window)
-                h = np.unique(halves[np.unique(at)])
-                hs.append(h)
-                ks.append(np.full(len(h), c, np.int64))
-                # a half that stands at two places of one document repeats whatever others hold
-                places = halves[np.unique(at)]
-                if len(h) < len(places):
-                    u, n = np.unique(places, return_counts=True)
-                    hs.append(u[n > 1])
-                    ks.append(np.full((n > 1).sum(), -1 - c, np.int64))
-                held += len(h)
-            if rows:
-                k, i, c, n, s = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())], SURVEY)
-            if held >= FLUSH_WORDS // 4:
-                yield to_survey(flush())
-                hs, ks, held = [], [], 0
-                seen.clear()
-        if (last := flush()) is not None:
-            yield to_survey(last)
-
-    return docs.mapInArrow(run, "dk long, id long, content long, n_words long, sha string, bucket int, blob binary")
-
-
-SURVEY = ["dk", "id", "content", "n_words", "sha", "bucket", "blob"]
-
-
-def to_survey(b: pa.RecordBatch) -> pa.RecordBatch:
-    n = b.num_rows
-    return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.string()), b.column("bucket"), b.column("blob")], SURVEY)
-
-
-def blobs(h: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows by hash bucket, the 8-byte columns of each bucket one after the other in a blob."""
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    columns = [x[order] for x in columns]
-    out = [b"".join(x[cuts[k] : cuts[k + 1]].tobytes() for x in columns) for k in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
-
-
-def unblob(blob: bytes, columns: int) -> list[np.ndarray]:
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
     n = len(blob) // 8 // columns
-    return [np.frombuffer(blob, np.int64, n, 8 * n * k) for k in range(columns)]
-
+    return [np.frombuffer(blob, _WORD, n, 8 * n * k) for k in range(columns)]
+
+
+# --- one level: runs by part, and what comes back ------------------------------------------------------
+
+#: Rows of a level: documents with their runs (blob: twice the number, and one more at the part's earliest place; place; h1; h2), and each distinct run of the part with that place.
+LEVEL = "part long, rid long, id long, c1 long, blob binary, h1 long, h2 long, number long, twice boolean, at long"
+_KINDS = {"part": pa.int64(), "rid": pa.int64(), "id": pa.int64(), "c1": pa.int64(), "blob": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "number": pa.int64(), "twice": pa.bool_(), "at": pa.int64()}
+
+
+class Part:
+    """Gathers documents with the runs that are asked for, up to PART_RUNS of them, then gives them out as rows of LEVEL."""
+
+    def __init__(self) -> None:
+        from pyspark import TaskContext
+
+        self.base, self.nth = TaskContext.get().partitionId() << 24, 0
+        self.docs: list[tuple] = []
+        self.runs = 0
+
+    def add(self, rid: int, id_: int | None, c1: int, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            self.docs.append((rid, id_, c1, at.astype(np.int64), h1.view(np.int64), h2.view(np.int64)))
+            self.runs += len(at)
+        if self.runs >= PART_RUNS:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.docs:
+            return
+        part, self.nth = self.base + self.nth, self.nth + 1
+        size = np.array([len(d[3]) for d in self.docs])
+        of = np.repeat(np.arange(len(size)), size)
+        at, h1, h2 = (np.concatenate([d[k] for d in self.docs]) for k in (3, 4, 5))
+        # documents by id (those without one last), then by their words; of equal runs the first is the earliest
+        rank = np.empty(len(size), np.int64)
+        rank[sorted(range(len(size)), key=lambda k: (self.docs[k][1] is None, self.docs[k][1] or 0, self.docs[k][2]))] = np.arange(len(size))
+        order = np.lexsort((at, rank[of], h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        flagged = number * 2
+        flagged[first] += 1
+        twice = np.bincount(number, minlength=len(first)) > 1
+        cuts = np.cumsum(size)
+        blobs = [packed(flagged[b - n : b], at[b - n : b], h1[b - n : b], h2[b - n : b]) for b, n in zip(cuts, size)]
+        yield _batch(part=np.full(len(size), part), rid=[d[0] for d in self.docs], id=[d[1] for d in self.docs], c1=[d[2] for d in self.docs], blob=blobs)
+        rid, ids, c1 = (pa.array([d[k] for d in self.docs], pa.int64()).take(pa.array(of[first])) for k in (0, 1, 2))
+        for lo in range(0, len(first), 100_000):
+            s = slice(lo, lo + 100_000)
+            n = len(first[s])
+            yield _batch(part=np.full(n, part), rid=rid[s], id=ids[s], c1=c1[s], h1=h1[first[s]], h2=h2[first[s]], number=np.arange(lo, lo + n), twice=twice[s], at=at[first[s]])
+        self.docs, self.runs = [], 0
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    n = len(columns["part"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns and not isinstance(columns[k], pa.Array) else columns.get(k, pa.nulls(n, t)) for k, t in _KINDS.items()], list(_KINDS))
+
+
+def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False) -> DataFrame:
+    """Rows that `each` makes of a level's documents with repeated runs, from rid, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`)."""
+    run = Window.partitionBy("h1", "h2")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "c1", "at")
+    wins = F.min(place).over(run).eqNullSafe(place) if earliest else F.lit(False)
+    asked = level.where("blob is null").select("part", "number", wins.alias("wins"), (F.max("twice").over(run) | (F.min("c1").over(run) < F.max("c1").over(run))).alias("repeats"))
+    back = asked.where("repeats").select("part", "number", "wins", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("binary").alias("blob"))
+    docs = level.where("blob is not null").select("part", F.lit(None).cast("long").alias("number"), F.lit(None).cast("boolean").alias("wins"), "rid", "blob")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, answers, marks = None, [], None
+        for b in pieces(batches, 50_000):
+            out, parts = [], b.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1), len(parts)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if parts[lo] != part:
+                    part, answers, marks = parts[lo], [], None
+                own = b.slice(lo, hi - lo)
+                n = own.column("rid").null_count  # answers come before documents
+                if n:
+                    answers.append((own.column("number").slice(0, n).to_numpy(zero_copy_only=False).astype(np.int64), own.column("wins").slice(0, n).to_numpy(zero_copy_only=False).astype(np.int8)))
+                    marks = None
+                if n == own.num_rows:
+                    continue
+                if marks is None:
+                    marks = np.zeros(max((int(a.max()) for a, _ in answers), default=-1) + 2, np.int8)
+                    for a, w in answers:
+                        marks[a] = 1 + w
+                for rid, blob in zip(own.column("rid").slice(n).to_pylist(), own.column("blob").slice(n).to_pylist()):
+                    columns = unpacked(blob, 4)
+                    mark = marks[np.minimum(columns[0] >> 1, len(marks) - 1)]
+                    if mark.any():
+                        out.append(each(rid, mark, columns))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in map(list, zip(*out))], names)
 
-def _by_bucket(sent: DataFrame) -> DataFrame:
-    return sent.select("bucket", "blob").repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
+    n = partitions(level.sparkSession)
+    return back.unionByName(docs).repartition(n, "part").sortWithinPartitions("part", F.col("rid").isNotNull(), "rid").mapInArrow(made, schema)
 
 
-def _repeated(sent: DataFrame, buckets: int) -> DataFrame:
-    """Blobs of (half hash, content) to the contents that hold a repeated half, with the hashes: (key, values binary)."""
+def _alive(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
+    return rid, np.unique(columns[2][mark > 0]).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, "bucket"):
-            parts = [unblob(x.as_py(), 2) for x in t.column("blob")]
-            h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            twice = c < 0  # repeats inside one content
-            c = np.where(twice, -1 - c, c)
-            order = np.lexsort((c, h))
-            h, c, twice = h[order], c[order], twice[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])  # the same content from two tasks counts once
-            group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-            many = np.bincount(group, first) > 1
-            many |= np.bincount(group, twice) > 0
-            keep = first & many[group]
-            if keep.any():
-                yield by_document(c[keep], h[keep], buckets)
 
-    return _merged(_by_bucket(sent).mapInArrow(run, "bucket int, blob binary"))
+def _settled(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
+    """Repeated runs (place, h1, h2), and the places of those that go: all but the earliest of each."""
+    flagged, at, h1, h2 = columns
+    keep = mark > 0
+    return rid, packed(at[keep], h1[keep], h2[keep]), at[keep & ~((mark == 2) & (flagged % 2 == 1))].tobytes()
 
 
-def by_document(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blobs of (key, value) by bucket of the key."""
-    return blobs(keys.view(np.uint64) << np.uint64(1), buckets, [keys, values])
+# --- the operator -------------------------------------------------------------------------------------
 
 
-def _merged(sent: DataFrame) -> DataFrame:
-    """Blobs of by_document() to one row per key: (key, values binary), values in order."""
+def _survey(texts: DataFrame, window: int) -> DataFrame:
+    """(rid, id, text) to a row per document with its key, number of words and digest, beside the rows of level one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, "bucket"):
-            k, v = (np.concatenate(x) for x in zip(*(unblob(x.as_py(), 2) for x in t.column("blob"))))
-            order = np.lexsort((v, k))
-            k, v = k[order], v[order]
-            cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-            for lo in range(0, len(cuts) - 1, 2000):
-                own = cuts[lo : lo + 2001]
-                yield pa.RecordBatch.from_arrays([pa.array(k[own[:-1]]), pa.array([v[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["key", "values"])
+        words, part = WordHashes(), Part()
+        seen: set[tuple[int, int]] = set()
+        for b in pieces(batches):
+            rows = []
+            for rid, i, t in zip(b.column("rid").to_pylist(), b.column("id").to_pylist(), texts_of(b.column("text"))):
+                w = t.split()
+                c = content_key(w)
+                rows.append((rid, i, *c, len(w), kept_sha256(w)))
+                if len(w) < window:
+                    continue
+                at, halves = least_halves(words.of(w), window)
+                at = np.unique(at)
+                if c in seen:  # a copy in this part: its own repeats are known, and it has nothing of its own to send
+                    continue
+                seen.add(c)
+                yield from map(_with_rows, part.add(rid, i, c[0], at, halves[at], halves[at]))
+                if not part.docs:
+                    seen.clear()
+            yield _rows_only(rows)
+        yield from map(_with_rows, part.rows())
 
-    return _by_bucket(sent).mapInArrow(run, "key long, values binary")
+    return texts.mapInArrow(run, f"{LEVEL}, c2 long, n_words long, sha string")
 
 
-def _extended(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Documents with the halves that repeat, to blobs: `local` ones of (dk, run) that this task found to repeat, others of windows that it can't judge alone."""
+_SURVEY = {**_KINDS, "c2": pa.int64(), "n_words": pa.int64(), "sha": pa.string()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            h, i, k, at = (np.concatenate(x) for x in zip(*held))
-            lose, win = earliest(h, i, k, at)
-            for b, local in ((by_document(*removed(k[lose], at[lose]), buckets), True), (blobs(h[win].view(np.uint64), buckets, [h[win], i[win], k[win], at[win]]), False)):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, local))], ["bucket", "blob", "local"])
-
-        for b in batches:
-            for i, k, t, alive in zip(b.column("id").to_pylist(), b.column("dk").to_pylist(), texts_of(b.column("text")), b.column("halves").to_pylist()):
-                w = words.of(t.split())
-                at, halves = minimizers(w, window)
-                found = np.flatnonzero(np.isin(halves[at], np.frombuffer(alive, np.uint64)))
-                if len(found):
-                    h = _mix(window_hashes(w, window))[found].view(np.int64)
-                    held.append((h, np.full(len(h), NO_ID if i is None else i, np.int64), np.full(len(h), k, np.int64), found))
-                    n += len(h)
-            if n >= FLUSH_WORDS:
-                yield from flush()
-                held, n = [], 0
-        yield from flush()
 
-    return texts.mapInArrow(run, "bucket int, blob binary, local boolean")
+def _with_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, _SURVEY[k]) for k in ("c2", "n_words", "sha"))], list(_SURVEY))
 
 
-#: Documents without an id come after all others.
-NO_ID = np.iinfo(np.int64).max
+def _rows_only(rows: list[tuple]) -> pa.RecordBatch:
+    own = dict(zip(("rid", "id", "c1", "c2", "n_words", "sha"), zip(*rows)))
+    return pa.RecordBatch.from_arrays([pa.array(own[k], t) if k in own else pa.nulls(len(rows), t) for k, t in _SURVEY.items()], list(_SURVEY))
 
 
-def earliest(h: np.ndarray, i: np.ndarray, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal hashes, those that start later and the one that starts first, by id, document key and place."""
-    order = np.lexsort((at, k, i, h))
-    first = np.ones(len(h), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
-    return order[~first], order[first]
+def _extended(texts: DataFrame, window: int) -> DataFrame:
+    """(rid, id, c1, text, alive: hashes of halves) to the level of windows whose least half is one of those."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part = WordHashes(), Part()
+        for b in pieces(batches):
+            for rid, i, c1, t, alive in zip(*(b.column(c).to_pylist() for c in ("rid", "id", "c1")), texts_of(b.column("text")), b.column("alive").to_pylist()):
+                w = words.of(t.split())
+                at, halves = least_halves(w, window)
+                found = np.flatnonzero(np.isin(halves[at], np.frombuffer(alive, np.uint64)))
+                if len(found):
+                    yield from part.add(rid, i, c1, found, run_hashes(w, window)[found], run_hashes(_mix(w), window, BASES[1])[found])
+        yield from part.rows()
 
-def removed(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of consecutive windows: document key, and first window << 32 | last window."""
-    order = np.lexsort((at, k))
-    k, at = k[order], at[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))[: len(k)]
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(k))[: len(starts)] - 1
-    return k[starts], at[starts] << 32 | at[ends]
+    return texts.mapInArrow(run, LEVEL)
 
 
-def _losers(sent: DataFrame, buckets: int) -> DataFrame:
-    """Blobs of extended windows to blobs of (dk, run) of the windows that aren't the earliest."""
+def _twice_as_long(survivors: DataFrame, words: int) -> DataFrame:
+    """(rid, places of repeated runs of so many words with their hashes) to the level of runs of twice the words, both of whose halves repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, "bucket"):
-            h, i, k, at = (np.concatenate(x) for x in zip(*(unblob(x.as_py(), 4) for x in t.column("blob"))))
-            lose, _ = earliest(h, i, k, at)
-            if len(lose):
-                yield by_document(*removed(k[lose], at[lose]), buckets)
+        part = Part()
+        for b in pieces(batches):
+            for rid, blob in zip(b.column("rid").to_pylist(), b.column("runs").to_pylist()):
+                at, h1, h2 = unpacked(blob, 3)
+                order = np.argsort(at)
+                at, h1, h2 = at[order], h1[order].view(np.uint64), h2[order].view(np.uint64)
+                second = np.minimum(np.searchsorted(at, at + words), len(at) - 1)
+                ok = np.flatnonzero(at[second] == at + words)
+                second = second[ok]
+                yield from part.add(rid, rid, rid, at[ok], doubled(h1[ok], h1[second], words, BASES[0]), doubled(h2[ok], h2[second], words, BASES[1]))
+        yield from part.rows()
 
-    return _by_bucket(sent).mapInArrow(run, "bucket int, blob binary")
+    return survivors.mapInArrow(run, LEVEL)
 
 
 def cover(n_words: int, places: bytes, window: int) -> np.ndarray:
     """Whether each word lies in a removed window."""
     steps = np.zeros(n_words + 1, np.int64)
-    runs = np.frombuffer(places, np.int64)
-    np.add.at(steps, runs >> 32, 1)
-    np.add.at(steps, (runs & 0xFFFFFFFF) + window, -1)
+    at = np.frombuffer(places, _WORD)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + window, -1)
     return np.cumsum(steps)[:n_words] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+def _longest(settled: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(rid, longest): words of the longest of the runs of window, twice the window, and so on that repeat in a document; levels go on until no candidates survive."""
+    found, words, survivors = settled.where("length(runs) > 0").select("rid", F.lit(window).cast("long").alias("longest")), window, settled
+    while True:
+        level = scratch.table(_twice_as_long(survivors, words))
+        words *= 2
+        survivors = scratch.table(_answered(level, _settled, "rid long, runs binary, gone binary"), level)
+        if survivors.isEmpty():
+            return found.groupBy("rid").agg(F.max("longest").alias("longest"))
+        found = found.union(survivors.select("rid", F.lit(words).cast("long")))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, columns: list[str] | None = None, prefix: str = "", longest: bool = False) -> DataFrame:
     """`columns` of `docs` (all) with n_words, n_removed and kept_sha256 (long, long, string) and kept_text: the words that stay, joined by one space.
 
-    The new names may have a prefix; columns of `docs` with the same names give way to them.
+    The new names may have a prefix; columns of `docs` with the same names give way to them. With `longest` also longest_repeat: words of the longest run of
+    window, 2 * window, 4 * window... words in the document that stands at another place too, 0 if there is none.
 
-    A document is its id and its words: of rows with equal id and words each gets the same result, and of
-    rows with equal id and other words the one with the smaller key of the words counts as earlier. Null ids
-    come last. Null and wordless texts have no words; texts shorter than a window lose none. kept_text is
-    null where no word goes (the text stays as it is).
+    A document is its id and its words: of rows with equal id and words each gets the same result, and of rows with equal id and other words the
+    one whose content_key() is smaller counts as earlier. Null ids come last. Null and wordless texts have no words; texts shorter than a window lose
+    none. kept_text is null where no word goes (the text stays as it is). An empty table gives no rows.
     """
+    if window < 2:
+        raise ValueError("a window has two words at least")
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "substrings")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, max(1, chars // 6 // PER_BUCKET + 1)))
-    survey = scratch.table(_survey(base, window, buckets))
-    rows = survey.where("bucket is null")
-    # exact copies: all but the first lose every word, if they hold a window at all
-    first = rows.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "dk")).alias("f")).select("content", F.col("f.dk").alias("first_dk"))
-    halves = _repeated(survey.where("bucket is not null"), buckets)
-    asked = scratch.table(halves.join(first, halves.key == first.content).select(F.col("first_dk").alias("dk"), F.col("values").alias("halves")))
-    sent = scratch.table(_extended(with_key(base).dropDuplicates(["dk"]).join(asked, "dk"), window, buckets))
-    places = scratch.table(_merged(sent.where("local").select("bucket", "blob").union(_losers(sent.where("not local"), buckets))).select(F.col("key").alias("dk"), F.col("values").alias("places")), asked)
-    state = rows.dropDuplicates(["dk"]).join(first, "content").select("dk", "n_words", "sha", (F.col("dk") != F.col("first_dk")).alias("copy")).join(places, "dk", "left")
-    state = scratch.table(state, sent)
-
-    names = docs.columns if columns is None else columns
+    names = [c for c in (docs.columns if columns is None else columns)]
     extra = {f"{prefix}n_words": pa.int64(), f"{prefix}n_removed": pa.int64(), f"{prefix}kept_sha256": pa.string(), f"{prefix}kept_text": pa.string()}
+    if longest:
+        extra[f"{prefix}longest_repeat"] = pa.int64()
     names = [n for n in names if n not in extra]
-    none = kept_sha256([])
     # inside, columns go by number: no name of theirs can clash
-    held = [*dict.fromkeys([*names, id_col, text])]
-    at_id, at_text = f"_c{held.index(id_col)}", f"_c{held.index(text)}"
+    inside = [*dict.fromkeys([*names, id_col, text])]
+    at_id, at_text = f"_c{inside.index(id_col)}", f"_c{inside.index(text)}"
+    held = scratch.table(docs.select(*(F.col(f"`{n}`").alias(f"_c{j}") for j, n in enumerate(inside)), F.monotonically_increasing_id().alias("rid")))
+    texts = held.select("rid", F.col(at_id).cast("long").alias("id"), F.col(at_text).alias("text"))
+
+    survey = scratch.table(_survey(texts, window))
+    rows = survey.where("sha is not null").select("rid", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("idz"), "c1", "c2", "n_words", "sha")
+    # exact copies: all but the first lose every word, if they hold a window at all
+    ids = F.struct("no_id", "idz")
+    first = rows.groupBy("c1", "c2").agg(F.min(F.struct("no_id", "idz", "rid")).alias("f"), (F.min(ids) != F.max(ids)).alias("copied")).select("c1", "c2", "f.no_id", "f.idz", F.col("f.rid").alias("first_rid"), "copied")
+    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "rid long, alive binary")
+    asked = halves.join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("first_rid").agg(F.first("c1").alias("c1"), F.first("alive").alias("alive"))
+    asked = scratch.table(asked.withColumnRenamed("first_rid", "rid"))
+    level = scratch.table(_extended(texts.join(asked, "rid"), window), asked)
+    settled = scratch.table(_answered(level, _settled, "rid long, runs binary, gone binary", earliest=True), level)
+    found = settled.select(F.col("rid").alias("first_rid"), F.col("gone").alias("_gone"))
+    if longest:
+        found = found.join(scratch.table(_longest(settled, window, scratch)).withColumnRenamed("rid", "first_rid"), "first_rid", "left")
+    else:
+        found = found.withColumn("longest", F.lit(None).cast("long"))
+    state = rows.join(first, ["c1", "c2", "no_id", "idz"], "left").withColumn("copy", F.col("first_rid").isNull()).withColumn("first_rid", F.coalesce("first_rid", -1 - F.col("rid")))
+    state = scratch.table(state.join(found, "first_rid", "left").select("rid", F.col("n_words").alias("_n"), F.col("sha").alias("_sha"), F.col("copy").alias("_copy"), F.coalesce("copied", F.lit(True)).alias("_copied"), "_gone", F.col("longest").alias("_longest")))
+    none = kept_sha256([])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for t, n, sha, copy, p in zip(texts_of(b.column(at_text)), *(b.column(c).to_pylist() for c in ("_n", "_sha", "_copy", "_places"))):
+        for b in pieces(batches):
+            cols: list[list] = [[], [], [], [], []]
+            for t, n, sha, copy, copied, gone, length in zip(texts_of(b.column(at_text)), *(b.column(c).to_pylist() for c in ("_n", "_sha", "_copy", "_copied", "_gone", "_longest"))):
+                if copied and n >= window:
+                    length = window << ((n // window).bit_length() - 1)
                 if copy and n >= window:
                     out = (n, n, none, "")
-                elif p:
+                elif gone:
                     w = t.split()
-                    gone = cover(n, p, window)
-                    w = [x for x, g in zip(w, gone.tolist()) if not g]
+                    w = [x for x, g in zip(w, cover(n, gone, window).tolist()) if not g]
                     out = (n, n - len(w), kept_sha256(w), b" ".join(w).decode())
                 else:
                     out = (n, 0, sha, None)
-                for c, x in zip(cols, out):
+                for c, x in zip(cols, (*out, length or 0)):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(f"_c{held.index(x)}") for x in names), *(pa.array(c, kind) for c, kind in zip(cols, extra.values()))], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*(b.column(f"_c{inside.index(x)}") for x in names), *(pa.array(c, kind) for c, kind in zip(cols, extra.values()))], [*names, *extra])
 
     kinds = [F.lit(None).cast("string" if "kept_" in k else "long").alias(k) for k in extra]
-    schema = docs.select(*(F.col(f"`{n}`").cast("long" if n == id_col else docs.schema[n].dataType).alias(n) for n in names), *kinds)._jdf.schema().toDDL()
-    flat = with_key(docs.select(*[F.col(f"`{n}`").cast("long" if n == id_col else docs.schema[n].dataType).alias(f"_c{j}") for j, n in enumerate(held)]), at_id, at_text)
-    joined = flat.join(state.select("dk", F.col("n_words").alias("_n"), F.col("sha").alias("_sha"), F.col("copy").alias("_copy"), F.col("places").alias("_places")), "dk")
-    return joined.drop("dk").mapInArrow(finish, schema)
-
-
-def with_key(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """`docs` and dk, the key of the document's id and words."""
-    schema = docs.select("*", F.lit(0).cast("long").alias("dk"))._jdf.schema().toDDL()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [doc_key(i, content_key(t.split())) for i, t in zip(b.column(id_col).to_pylist(), texts_of(b.column(text)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "dk"])
-
-    return docs.mapInArrow(run, schema)
+    schema = docs.select(*(F.col(f"`{n}`") for n in names), *kinds)._jdf.schema().toDDL()
+    return held.join(state, "rid").drop("rid").mapInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, window: int = 20) -> DataFrame:
-    return remove_repeats(docs.select("doc_id", "text"), window=window, columns=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs.select("doc_id", "text"), window=window, columns=["doc_id"], longest=True).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat")
 
 
 def rewritten(docs: DataFrame, window: int = 20) -> DataFrame:
     """`docs` with what repeats taken out of text, and n_chars to match where a column of that name is there."""
-    out = remove_repeats(docs, window=window, prefix="_repeat_")
-    kept = F.col("_repeat_kept_text")
-    new = {"text": F.coalesce(kept, "text"), "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
+    mark = "_repeat_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    out = remove_repeats(docs, window=window, prefix=mark)
+    kept = F.col(f"{mark}kept_text")
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
+    return out.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Levels that the SQL has: up to 20 * 2^13 words.
+_LEVELS = [20 << k for k in range(14)]
+_LEVEL_SQL = "".join(
+    f"""
+q{n} AS (SELECT a.doc_id, a.pos, dense_rank() OVER (ORDER BY a.id, b.id) AS id, count(*) OVER (PARTITION BY a.id, b.id) AS c FROM r{n // 2} a JOIN r{n // 2} b ON b.doc_id = a.doc_id AND b.pos = a.pos + {n // 2}),
+r{n} AS (SELECT doc_id, pos, id FROM q{n} WHERE c > 1),"""
+    for n in _LEVELS[1:]
+)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d WHERE len(w) >= 20),
+y AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 19], ' ') AS run FROM x),
+z AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS gone, dense_rank() OVER (ORDER BY run) AS id, count(*) OVER (PARTITION BY run) AS c FROM y),
+r20 AS (SELECT doc_id, pos, id FROM z WHERE c > 1),{_LEVEL_SQL}
+u AS (SELECT doc_id, max(n) AS n FROM ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n FROM r{n}" for n in _LEVELS)}) GROUP BY doc_id),
+e AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS p FROM z WHERE gone),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT v.doc_id, count(*) AS n_kept, string_agg(v.word, ' ' ORDER BY v.p) AS kept FROM v ANTI JOIN e ON e.doc_id = v.doc_id AND e.p = v.p GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(u.n, 0) AS BIGINT) AS longest_repeat
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id
+"""

@@ -16,15 +16,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import pieces, texts_of
 
 #: Words in a window, and from one window's start to the next.
-WINDOW, STRIDE = 64, 16
+WINDOW, STRIDE = 64, 32
 #: Labelled rows that the network is fitted on, at most: those with the smallest hash of their id, by label.
 MOST_TOXIC, MOST_CLEAN = 800, 1600
+#: Bytes of their texts, at most: the sample ends before the row that would exceed them.
+MOST_BYTES = 64 << 20
 #: Labelled texts that must hold a word for it to have a vector of its own; buckets of trigrams.
 LEAST_TEXTS, TRIGRAMS = 3, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, EPOCHS, BATCH = 6, 6, 8, 8, 128
@@ -331,19 +333,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int | Non
             xs = x[used] if lo == 0 else inputs_of(p, used, word_rows, tg, begin, tg_size)
             proj = (np.einsum("nd,kdh->nkh", xs, p["W"]) + p["b"]).astype(np.float32)
             g, dx, _ = net.gradients(proj[at], length[k], y, np.where(y > 0, 1.5, 1.0).astype(np.float32))
-            by_word = np.argsort(at.ravel(), kind="stable")
-            dproj = np.add.reduceat(dx.reshape(-1, 6 * H)[by_word], np.searchsorted(at.ravel()[by_word], np.arange(len(used)))).reshape(len(used), 2, 3 * H)
-            g["W"], g["b"] = np.matmul(xs.T[None], dproj.transpose(1, 0, 2)), dproj.sum(axis=0)
-            dxs = np.matmul(dproj.transpose(1, 0, 2), p["W"].transpose(0, 2, 1)).sum(axis=0)
-            g["Ew"] = np.zeros_like(p["Ew"])
-            np.add.at(g["Ew"], word_rows[used], dxs[:, :WORD_DIM])
-            g["Ew"][0] = 0
-            g["Ec"] = np.zeros_like(p["Ec"])
-            real = used[used > 0] - 1
-            which, flat = spread(begin, tg_size, real)
-            share = (dxs[used > 0, WORD_DIM:] / tg_size[real][:, None])[which]
-            for c in range(CHAR_DIM):
-                g["Ec"][:, c] = np.bincount(tg[flat], share[:, c], TRIGRAMS)
+            g |= input_gradients(p, dx, at, used, xs, word_rows, tg, begin, tg_size)
             step_n += 1
             for name, v in p.items():
                 m1, m2 = moments[name]
@@ -372,6 +362,26 @@ def inputs_of(p: dict[str, np.ndarray], used: np.ndarray, word_rows: np.ndarray,
     return np.concatenate((p["Ew"][word_rows[used]], chars), axis=1)
 
 
+def input_gradients(p: dict[str, np.ndarray], dx: np.ndarray, at: np.ndarray, used: np.ndarray, xs: np.ndarray, word_rows: np.ndarray, tg: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the projections and of words' and trigrams' vectors, from those by projected input: dx by (time, window), whose words are xs[at]."""
+    by_word = np.argsort(at.ravel(), kind="stable")
+    places = np.searchsorted(at.ravel()[by_word], np.arange(len(used) + 1))
+    sums = np.concatenate((np.zeros((1, dx[0, 0].size), dx.dtype), np.cumsum(dx.reshape(at.size, -1)[by_word], axis=0, dtype=np.float64).astype(dx.dtype)))
+    dproj = (sums[places[1:]] - sums[places[:-1]]).reshape(len(used), 2, -1)
+    g = {"W": np.matmul(xs.T[None], dproj.transpose(1, 0, 2)), "b": dproj.sum(axis=0)}
+    dxs = np.matmul(dproj.transpose(1, 0, 2), p["W"].transpose(0, 2, 1)).sum(axis=0)
+    g["Ew"] = np.zeros_like(p["Ew"])
+    np.add.at(g["Ew"], word_rows[used], dxs[:, :WORD_DIM])
+    g["Ew"][0] = 0
+    g["Ec"] = np.zeros_like(p["Ec"])
+    real = used[used > 0] - 1
+    which, flat = spread(begin, size, real)
+    share = (dxs[used > 0, WORD_DIM:] / size[real][:, None])[which]
+    for c in range(CHAR_DIM):
+        g["Ec"][:, c] = np.bincount(tg[flat], share[:, c], TRIGRAMS)
+    return g
+
+
 # --- on tables --------------------------------------------------------------------------------------
 
 
@@ -380,14 +390,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Network:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Network:
     """Fits on a bounded sample of the labelled rows that aren't held out; ids with two labels count as toxic if either says so."""
     own = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, most_toxic).union(pick(0, most_clean))  # most_toxic + most_clean rows of 12 bytes at most: bounded
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_toxic + most_clean)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(*order).limit(most_toxic + most_clean)
+    # rows are bounded by now, bytes here
+    sizes = found.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     texts, ys = [], []
-    for r in found.select("text", "toxic").toLocalIterator():
+    for r in sizes.where(F.col("bytes") <= most_bytes).orderBy(*order).select("text", "toxic").toLocalIterator():
         texts.append((r.text or "").encode())
         ys.append(r.toxic)
     return fit(texts, np.array(ys))
@@ -396,17 +409,17 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
 def scored(docs: DataFrame, network: Network, text: str = "text", column: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of `docs` (all) and each whole text's score; null text counts as empty."""
     spark = docs.sparkSession
-    small_batches(spark)
     keep = docs.columns if keep is None else keep
     model = spark.sparkContext.broadcast((network.vocabulary, network.p))  # a few MB, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(*model.value)
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(net.score(texts_of(b.column(text))))], [*keep, column])
 
-    schema = docs.select(*keep, F.lit(0.0).alias(column))._jdf.schema().toDDL()
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    keep = list(keep)
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias(column))._jdf.schema().toDDL()
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
 
 
 def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -421,5 +434,8 @@ def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those that score 0.5 or more. labels: doc_id, toxic."""
-    return scored(docs, train(docs, labels), column="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    """`docs` without those that score 0.5 or more. labels: doc_id, toxic. Null and empty texts, null and repeated ids are treated as in score_all(); columns may have any name and type."""
+    mark = "_toxicity"
+    while mark in docs.columns:
+        mark = "_" + mark
+    return scored(docs, train(docs, labels), column=mark).where(F.col(mark) < 0.5).drop(mark)
