@@ -36,7 +36,7 @@ class Scratch:
 
     Writing a table cuts the lineage: a lost executor costs one stage, not the job, and the rows are
     stable across retries. Tables that later ones replace are dropped at once. The others serve the
-    operator's lazy result, and go with drop() or released() once that is written, else when the driver's JVM ends.
+    operator's lazy result, and go with drop(), or at the next stage() of a pipeline, once that is written, else when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -63,6 +63,14 @@ class Scratch:
                 fs.delete(p, True)
         return out
 
+    def only(self, *needed: DataFrame) -> None:
+        """Drops all tables but these, which are what a lazy result reads."""
+        keep = {df._scratch_path for df in needed}
+        for n in range(1, self.n + 1):
+            if f"{self.base}/{n}" not in keep:
+                fs, p = self._at(f"{self.base}/{n}")
+                fs.delete(p, True)
+
     def drop(self) -> None:
         fs, p = self._at(self.base)
         fs.delete(p, True)
@@ -70,13 +78,19 @@ class Scratch:
             _open.remove(self)
 
 
+_stages: list[Scratch] = []
+
+
 @contextmanager
-def released() -> Iterator[None]:
-    """Drops, on leaving without an error, the scratch tables of the operators called inside: what they gave must be written by then."""
+def stage(docs: DataFrame) -> Iterator[None]:
+    """Around a pipeline's stage, whose predecessors' results are written by now: first drops the scratch tables that they have left, but for those that `docs` reads."""
+    read = docs.inputFiles() if _stages else []
+    for s in [s for s in _stages if not any(f"/{s.base.rsplit('/', 1)[1]}/" in f for f in read)]:
+        s.drop()
+        _stages.remove(s)
     before = list(_open)
     yield
-    for s in [s for s in _open if s not in before]:
-        s.drop()
+    _stages.extend(s for s in _open if s not in before)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -107,6 +107,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     at = {c: f"_c{k}" for k, c in enumerate(names)}
     rows = held.select("rid", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")))
     taken = _taken(rows, quality(n_words()), weights, most, ranges, scratch).where("taken > 0").select("rid", "size", "taken")
+    taken = scratch.table(taken)
+    scratch.only(held, taken)
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     parts = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     j = held.join(taken, "rid").withColumn("n", F.explode(parts))

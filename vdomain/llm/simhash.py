@@ -168,7 +168,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     roots = scratch.table(connected_components(links(distinct, scratch, distance), scratch))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.join(lowest, "root").select("fp", "component_id")
+    of_fp = scratch.table(named.join(lowest, "root").select("fp", "component_id"))
+    scratch.only(rows, of_fp)
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -181,16 +182,16 @@ def similar_groups(rows: DataFrame, texts: DataFrame, similarity: float, distanc
     """
     distinct = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp")))
     nodes = scratch.table(distinct.withColumn("node", F.monotonically_increasing_id()))
-    own = texts.join(nodes.select("node", F.col("first.rid").alias("rid")), "rid").select("node", "text")
+    texts, places = texts.select("rid", "text"), nodes.select("node", F.col("first.rid").alias("rid"))
     # nodes with one fingerprint are joined through the least of them, fingerprints through those
     fps = scratch.table(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("least")))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     equal = nodes.where("n > 0").join(fps, "fp").select(*ordered("node", "least"))
     near_ = links(fps, scratch, distance).join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(*ordered("x", "y"))
     members = similar.banded(nodes, scratch)
-    first = similar.verified(equal.union(near_).union(similar.leads(members, similarity)).where("a < b").distinct(), own, similarity, scratch)
+    first = similar.verified(equal.union(near_).union(similar.leads(members, similarity)).where("a < b").distinct(), texts, places, similarity, scratch)
     joined = scratch.table(connected_components(first, scratch))
-    second = similar.verified(similar.apart(members, joined, similarity), own, similarity, scratch)
+    second = similar.verified(similar.apart(members, joined, similarity), texts, places, similarity, scratch)
     roots = scratch.table(connected_components(first.union(second), scratch))
     return nodes.select("node", "k1", "k2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -206,7 +207,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     rows = scratch.table(similar.sketched(texts))
     nodes = scratch.table(similar_groups(rows, texts, similarity, distance, scratch))
     lowest = nodes.groupBy("root").agg(F.min("first.id").alias("component_id"))
-    of_node = nodes.join(lowest, "root").select("k1", "k2", "root", "component_id")
+    of_node = scratch.table(nodes.join(lowest, "root").select("k1", "k2", "root", "component_id"))
+    scratch.only(rows, of_node)
     return rows.select("id", "k1", "k2").join(of_node, ["k1", "k2"]).select(F.col("id").alias(id_col), "root", "component_id")
 
 
@@ -224,4 +226,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     kept = similar_groups(rows, texts, similarity, distance, scratch).groupBy("root").agg(F.min("first").alias("f")).select("f.rid")
     # the lesser table: what goes
     gone = scratch.table(rows.select("rid").join(scratch.table(kept), "rid", "left_anti"))
+    scratch.only(held, gone)
     return held.join(gone, "rid", "left_anti").select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)))

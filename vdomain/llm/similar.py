@@ -183,11 +183,11 @@ def apart(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those pairs (a, b) whose shingles have at least that Jaccard similarity. texts: node, text."""
+def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingles have at least that Jaccard similarity. texts: rid, text; places: node, rid of a row with its text."""
     pairs = scratch.table(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = scratch.table(texts.join(asked, "node"))
+    asked = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(places, "node"))
+    own = scratch.table(texts.join(asked, "rid").select("node", "text"))
     # a node with many pairs is dealt out with copies of its text
     salts = F.ceil(F.col("pairs") / VERIFIED).cast("int")
     many = pairs.groupBy("a").agg(F.count("*").alias("pairs"))

@@ -84,6 +84,7 @@ def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
 # --- one level: runs by part, and what comes back ------------------------------------------------------
 
 #: Rows of a level: documents with their runs (blob: twice the number, and one more at the part's earliest place; place; h1; h2), and each distinct run of the part with that place.
+#: Level one, which only filters, has neither hashes in its blobs nor h2 and places in its rows.
 LEVEL = "part long, rid long, id long, c1 long, blob binary, h1 long, h2 long, number long, twice boolean, at long"
 _KINDS = {"part": pa.int64(), "rid": pa.int64(), "id": pa.int64(), "c1": pa.int64(), "blob": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "number": pa.int64(), "twice": pa.bool_(), "at": pa.int64()}
 
@@ -91,9 +92,10 @@ _KINDS = {"part": pa.int64(), "rid": pa.int64(), "id": pa.int64(), "c1": pa.int6
 class Part:
     """Gathers documents with the runs that are asked for, up to PART_RUNS of them, then gives them out as rows of LEVEL."""
 
-    def __init__(self) -> None:
+    def __init__(self, filters: bool = False) -> None:
         from pyspark import TaskContext
 
+        self.filters = filters
         self.base, self.nth = TaskContext.get().partitionId() << 24, 0
         self.docs: list[tuple] = []
         self.runs = 0
@@ -125,13 +127,15 @@ class Part:
         flagged[first] += 1
         twice = np.bincount(number, minlength=len(first)) > 1
         cuts = np.cumsum(size)
-        blobs = [packed(flagged[b - n : b], at[b - n : b], h1[b - n : b], h2[b - n : b]) for b, n in zip(cuts, size)]
-        yield _batch(part=np.full(len(size), part), rid=[d[0] for d in self.docs], id=[d[1] for d in self.docs], c1=[d[2] for d in self.docs], blob=blobs)
+        kept = (flagged, at) if self.filters else (flagged, at, h1, h2)
+        blobs = [packed(*(c[b - n : b] for c in kept)) for b, n in zip(cuts, size)]
+        yield _batch(part=np.full(len(size), part), rid=[d[0] for d in self.docs], blob=blobs)
         rid, ids, c1 = (pa.array([d[k] for d in self.docs], pa.int64()).take(pa.array(of[first])) for k in (0, 1, 2))
         for lo in range(0, len(first), 100_000):
             s = slice(lo, lo + 100_000)
             n = len(first[s])
-            yield _batch(part=np.full(n, part), rid=rid[s], id=ids[s], c1=c1[s], h1=h1[first[s]], h2=h2[first[s]], number=np.arange(lo, lo + n), twice=twice[s], at=at[first[s]])
+            own = {"part": np.full(n, part), "c1": c1[s], "h1": h1[first[s]], "number": np.arange(lo, lo + n), "twice": twice[s]}
+            yield _batch(**own) if self.filters else _batch(**own, rid=rid[s], id=ids[s], h2=h2[first[s]], at=at[first[s]])
         self.docs, self.runs = [], 0
 
 
@@ -140,9 +144,9 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns and not isinstance(columns[k], pa.Array) else columns.get(k, pa.nulls(n, t)) for k, t in _KINDS.items()], list(_KINDS))
 
 
-def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False) -> DataFrame:
+def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False, filters: bool = False) -> DataFrame:
     """Rows that `each` makes of a level's documents with repeated runs, from rid, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`)."""
-    run = Window.partitionBy("h1", "h2")
+    run = Window.partitionBy("h1") if filters else Window.partitionBy("h1", "h2")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "c1", "at")
     wins = F.min(place).over(run).eqNullSafe(place) if earliest else F.lit(False)
     asked = level.where("blob is null").select("part", "number", wins.alias("wins"), (F.max("twice").over(run) | (F.min("c1").over(run) < F.max("c1").over(run))).alias("repeats"))
@@ -170,7 +174,7 @@ def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray
                     for a, w in answers:
                         marks[a] = 1 + w
                 for rid, blob in zip(own.column("rid").slice(n).to_pylist(), own.column("blob").slice(n).to_pylist()):
-                    columns = unpacked(blob, 4)
+                    columns = unpacked(blob, 2 if filters else 4)
                     mark = marks[np.minimum(columns[0] >> 1, len(marks) - 1)]
                     if mark.any():
                         out.append(each(rid, mark, columns))
@@ -182,7 +186,7 @@ def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray
 
 
 def _alive(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
-    return rid, np.unique(columns[2][mark > 0]).tobytes()
+    return rid, np.sort(columns[1][mark > 0]).tobytes()
 
 
 def _settled(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
@@ -199,7 +203,7 @@ def _survey(texts: DataFrame, window: int) -> DataFrame:
     """(rid, id, text) to a row per document with its key, number of words and digest, beside the rows of level one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordHashes(), Part()
+        words, part = WordHashes(), Part(filters=True)
         seen: set[tuple[int, int]] = set()
         for b in pieces(batches):
             rows = []
@@ -236,15 +240,15 @@ def _rows_only(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _extended(texts: DataFrame, window: int) -> DataFrame:
-    """(rid, id, c1, text, alive: hashes of halves) to the level of windows whose least half is one of those."""
+    """(rid, id, c1, text, alive: places of halves) to the level of windows whose least half is one of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordHashes(), Part()
         for b in pieces(batches):
             for rid, i, c1, t, alive in zip(*(b.column(c).to_pylist() for c in ("rid", "id", "c1")), texts_of(b.column("text")), b.column("alive").to_pylist()):
                 w = words.of(t.split())
-                at, halves = least_halves(w, window)
-                found = np.flatnonzero(np.isin(halves[at], np.frombuffer(alive, np.uint64)))
+                at, _ = least_halves(w, window)
+                found = np.flatnonzero(np.isin(at, np.frombuffer(alive, _WORD)))
                 if len(found):
                     yield from part.add(rid, i, c1, found, run_hashes(w, window)[found], run_hashes(_mix(w), window, BASES[1])[found])
         yield from part.rows()
@@ -318,13 +322,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = held.select("rid", F.col(at_id).cast("long").alias("id"), F.col(at_text).alias("text"))
 
     survey = scratch.table(_survey(texts, window))
-    rows = survey.where("sha is not null").select("rid", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("idz"), "c1", "c2", "n_words", "sha")
+    rows = scratch.table(survey.where("sha is not null").select("rid", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("idz"), "c1", "c2", "n_words", "sha"))
     # exact copies: all but the first lose every word, if they hold a window at all
     ids = F.struct("no_id", "idz")
     first = rows.groupBy("c1", "c2").agg(F.min(F.struct("no_id", "idz", "rid")).alias("f"), (F.min(ids) != F.max(ids)).alias("copied")).select("c1", "c2", "f.no_id", "f.idz", F.col("f.rid").alias("first_rid"), "copied")
-    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "rid long, alive binary")
+    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "rid long, alive binary", filters=True)
     asked = halves.join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("first_rid").agg(F.first("c1").alias("c1"), F.first("alive").alias("alive"))
-    asked = scratch.table(asked.withColumnRenamed("first_rid", "rid"))
+    asked = scratch.table(asked.withColumnRenamed("first_rid", "rid"), survey)
     level = scratch.table(_extended(texts.join(asked, "rid"), window), asked)
     settled = scratch.table(_answered(level, _settled, "rid long, runs binary, gone binary", earliest=True), level)
     found = settled.select(F.col("rid").alias("first_rid"), F.col("gone").alias("_gone"))
@@ -334,6 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         found = found.withColumn("longest", F.lit(None).cast("long"))
     state = rows.join(first, ["c1", "c2", "no_id", "idz"], "left").withColumn("copy", F.col("first_rid").isNull()).withColumn("first_rid", F.coalesce("first_rid", -1 - F.col("rid")))
     state = scratch.table(state.join(found, "first_rid", "left").select("rid", F.col("n_words").alias("_n"), F.col("sha").alias("_sha"), F.col("copy").alias("_copy"), F.coalesce("copied", F.lit(True)).alias("_copied"), "_gone", F.col("longest").alias("_longest")))
+    scratch.only(held, state)
     none = kept_sha256([])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
