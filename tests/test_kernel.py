@@ -129,6 +129,28 @@ def test_scan_does_not_depend_on_the_batch(scan):
     assert together == [scan([s])[0] for s in seqs]
 
 
+def test_weak_hits_are_there_without_a_threshold(scan):
+    hits = scan([VH])[0]
+    assert {h.hit_id for h in hits} >= {f"pan_{c}" for c in "HKLABGD"} and min(h.bitscore for h in hits) < 20
+    assert {h.hit_id for h in scan([VH], 80.0)[0] if h.bitscore >= 80} == {h.hit_id for h in hits if h.bitscore >= 80}
+
+
+def test_composition_bias(scan):
+    for s in (VH, VK):
+        (top, *_) = scan([s], 80.0)[0]
+        assert 0 <= top.bias < 0.1 * top.bitscore
+    # a domain of few letters, over and over, is explained by its composition
+    low = scan.scanner.bias("GS" * 40, 0, 0, "m" * 80)
+    assert low > scan.scanner.bias(VH[:80], 0, 0, "m" * 80) >= 0
+
+
+def test_long_sequences_are_scanned_in_two_passes(scan, monkeypatch):
+    seqs = [VH, VK + "GGGGS" * 3 + VH]
+    want = scan(seqs)
+    monkeypatch.setattr(D, "KEPT", 0)
+    assert scan(seqs) == want
+
+
 def test_long_loop_needs_a_second_look(scan):
     loop = "GSYDTAERNQPS" * 6
     seq = VH[:96] + "CAR" + loop + "FDYWGQGTLVTVSS"

@@ -99,6 +99,59 @@ def test_annotate(spark):
     assert E.residue_rows(E.domain_rows(E.annotate(df))).where("seq_id = 'a' and aa <> '-'").count() == len(VH)
 
 
+def test_columns_of_rows_stay(spark):
+    """With and without a pass over distinct sequences, and where names clash."""
+    rows = [("a", VH, 1), ("b", None, 2), ("c", VH, 3), ("d", LYSOZYME, 4)]
+    df = spark.createDataFrame(rows, "seq_id string, sequence string, n int").withColumn("error", F.lit("own")).withColumn("m", F.create_map(F.lit("k"), "n"))
+    for distinct in (True, False):
+        out = E.annotate(df, distinct=distinct)
+        assert out.columns == ["seq_id", "sequence", "n", "m", *E.RESULTS]
+        got = {r.seq_id: r for r in out.collect()}
+        assert {k: (r.n, r.m) for k, r in got.items()} == {"a": (1, {"k": 1}), "b": (2, {"k": 2}), "c": (3, {"k": 3}), "d": (4, {"k": 4})}
+        assert got["a"].domains == got["c"].domains and got["b"].hits is None and got["d"].domains is None and all(r.error is None for r in got.values())
+
+
+def test_replay_is_joined(spark):
+    df = spark.createDataFrame([("a", VH), ("b", VK)], "seq_id string, sequence string")
+    hits = spark.createDataFrame([(VH, [("pan_H", 1e-50, 170.0, 0.5, 0, 118, 0, 128, "m" * 9 + "d" + "m" * 23 + "dddd" + "m" * 21 + "dd" + "m" * 11 + "d" + "m" * 38 + "d" * 1 + "m" * 16)])], f"sequence string, hits array<{E.REPLAYED}>")
+    for distinct in (True, False):
+        got = {r.seq_id: r for r in E.annotate(df, replay=hits, distinct=distinct).collect()}
+        assert [h.id for h in got["a"].hits] == ["pan_H"] and got["a"].hits[0].bitscore == 170.0 and got["b"].hits == [] and got["b"].domains is None
+
+
+def test_one_domain_fails_and_the_others_stay(spark):
+    tcr = next(g for g in load_genes(spark) if g.chain == "A" and g.segment == "V").ungapped + "DSNYQLIWGAGTKLIIKP"
+    r = E.annotate(spark.createDataFrame([(VH + "GGGGSGGGGS" + tcr,)], "sequence string"), E.AnnotateOptions(scheme="kabat")).first()
+    assert [d.chain_type for d in r.domains] == ["H"] and "Unimplemented" in r.error
+    with pytest.raises(ValueError, match="no such germline method"):
+        E.annotate(spark.createDataFrame([(VH,)], "sequence string"), E.AnnotateOptions(germline_method="nonsense"))
+
+
+def test_species_limit_hits(spark):
+    profiles = [type(p)(p.name.replace("pan", sp), p.match, p.step, p.tail) for p in load_profiles(spark) for sp in ("human", "mouse")]
+    df = spark.createDataFrame([(VH,)], "sequence string")
+    own = E.annotate(df, E.AnnotateOptions(allowed_species=("mouse",)), profiles=profiles).first()
+    assert {h.id.split("_")[0] for h in own.hits} == {"mouse"} and not own.reverted_species
+    none = E.annotate(df, E.AnnotateOptions(allowed_species=("pig",)), profiles=profiles).first()
+    assert {h.id.split("_")[0] for h in none.hits} == {"human", "mouse"} and none.reverted_species
+
+
+def test_identity_by_bits_is_identity(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = "ACDEFGHIKLMNPQRSTVWYBXZ*?-"
+    row = lambda: "".join(rng.choice(letters) for _ in range(128))
+    rows = [(k, row(), row()) for k in range(60)] + [(100, "-" * 128, row()), (101, row().lower(), "-" * 128), (102, "AC", "AC" + "-" * 126)]
+    df = spark.createDataFrame(rows, "k int, aligned_query string, aligned string")
+    genes = df.select("k", F.lit("V").alias("seg"), F.lit("x").alias("species"), F.lit(0).alias("species_ord"), F.lit("g").alias("gene"), F.lit(0).alias("gene_ord"), "aligned", F.regexp_replace("aligned", "-", "").alias("ungapped"))
+    got = {r.k: r.identity for r in germline.best_by_identity(df.withColumn("key", F.col("k")), genes, "key", "V", ["k"]).withColumnRenamed("key", "k").collect()}
+    for k, q, g in rows:
+        there = [(a, b) for a, b in zip(q.upper().ljust(128, "-"), g) if b != "-"]
+        want = sum(a == b for a, b in there) / len(there) if there else 0
+        assert got.get(k, 0) == pytest.approx(want)
+
+
 def test_allow_threshold_and_errors(spark):
     df = spark.createDataFrame([("a", VH), ("b", VK)], "seq_id string, sequence string")
     got = {r.seq_id: r.domains is None for r in E.annotate(df, E.AnnotateOptions(allow=("K",))).collect()}
@@ -124,6 +177,8 @@ def test_inputs(spark):
     assert E.from_input(spark, VH).first().seq_id == "Input sequence"
     with pytest.raises(ValueError, match="Unknown amino"):
         E.from_input(spark, "ACDX")
+    with pytest.raises(ValueError, match="Unknown amino"):
+        E.from_input(spark, "./no/such.fasta")
     with pytest.raises(TypeError):
         E.sequences(spark, [("a", 1)])
     assert E.method_of("e-value") == "evalue" and E.method_of(None) == "evalue"
@@ -133,10 +188,10 @@ def test_inputs(spark):
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", VH), ("b", VK)], "seq_id string, sequence string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("seq_id string, sequence string").parquet(str(tmp_path / "in"))
-    q = annotate_stream(stream).select("sequence", F.size("domains").alias("n")).writeStream.format("memory").queryName("annotated").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = annotate_stream(stream).select("seq_id", "sequence", F.size("domains").alias("n")).writeStream.format("memory").queryName("annotated").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.n for r in spark.table("annotated").collect()) == [1, 1]
+    assert sorted((r.seq_id, r.n) for r in spark.table("annotated").collect()) == [("a", 1), ("b", 1)]
 
 
 def test_write(spark, tmp_path):

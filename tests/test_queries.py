@@ -1,3 +1,6 @@
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +16,20 @@ def sf(spark, tmp_path_factory):
     return path
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_is_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rel = con.sql(queries.ORACLE_SQL[name])
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert Counter(repr(tuple(r)) for r in df.collect()) == Counter(map(repr, rel.project(", ".join(df.columns)).fetchall()))
+
+
 def test_sequences_grow_with_the_orders(spark, sf):
     rows = queries.made_sequences(spark, sf).collect()
     assert len(rows) == 1500 and len({r.sequence for r in rows}) > 1490

@@ -10,9 +10,10 @@ import numpy as np
 from .profile import Profile, Scanner
 from .schemes import State
 
-#: Bits that a profile's best path must reach for its domains to be looked at; and how far below a threshold it may stay: all
-#: paths together score a few bits more than the best one.
-LOOK, SLACK = 8.0, 20.0
+#: Bits that a profile's best path may stay below a threshold for its domains to be looked at: all paths together score a few bits more than the best one.
+SLACK = 20.0
+#: Rows times residues up to which the tables of a scan are kept for tracing (200 MB or so); longer sequences are scanned again for that.
+KEPT = 120_000
 #: Threshold of the second look.
 RESCUE = 10.0
 
@@ -56,32 +57,40 @@ Scan = Callable[[list[str], float], list[list[Hit]]]
 
 
 class ProfileScan:
-    """Hits of each sequence against all profiles, in the order of the profiles' best scores; weak ones below the threshold may be left out."""
+    """Hits of each sequence against all profiles, in the order of the profiles' best scores. Those more than SLACK bits below the threshold may be left out; none are without one."""
 
     def __init__(self, profiles: list[Profile]):
         self.scanner = Scanner(profiles)
         self.models = len(profiles)
 
-    def __call__(self, seqs: list[str], threshold: float = 0.0) -> list[list[Hit]]:
-        look = max(LOOK, threshold - SLACK)
+    def __call__(self, seqs: list[str], threshold: float | None = None) -> list[list[Hit]]:
+        look = -np.inf if threshold is None else threshold - SLACK
         out: list[list[Hit]] = [[] for _ in seqs]
         order = sorted((k for k in range(len(seqs)) if seqs[k]), key=lambda k: len(seqs[k]))
         for lo in range(0, len(order), 24):  # like lengths together: little padding, small tables
             part = order[lo : lo + 24]
             rows = [(k, m) for k in part for m in range(self.models)]
-            best = self.scanner.viterbi([seqs[k] for k, _ in rows], np.array([m for _, m in rows]))
-            near = [(k, m) for (k, m), b in zip(rows, best) if b >= look]
-            found = self.scanner.paths([seqs[k] for k, _ in near], np.array([m for _, m in near], int))
+            own, models = [seqs[k] for k, _ in rows], np.array([m for _, m in rows])
+            keep = len(rows) * len(seqs[part[-1]]) <= KEPT
+            best = self.scanner.viterbi(own, models, trace=keep)
+            if keep:
+                near = np.flatnonzero(best[0] >= look)
+                found = self.scanner.paths(own, models, best, near)
+            else:
+                near = np.flatnonzero(best >= look)
+                found = [d for r in near for d in self.scanner.paths([own[r]], models[[r]])]
             parts = []
-            for (k, m), domains in zip(near, found):
+            for r, domains in zip(near, found):
+                k, m = rows[r]
                 cuts = [0, *(d[0] for d in domains[1:]), len(seqs[k])]
                 prior = [0, *(d[1] for d in domains[:-1])]
                 parts += [(k, m, d, seqs[k][a:b]) for d, a, b in zip(domains, prior, cuts[1:])]
             bits = self.scanner.forward([p[3] for p in parts], np.array([p[1] for p in parts], int))
             by: dict[int, list[Hit]] = {}
             for (k, m, (qs, qe, hs, he, cols), _), b in zip(parts, bits):
-                b = float(b)
-                by.setdefault(k, []).append(Hit(self.scanner.profiles[m].name, float("%.1e" % self.scanner.evalue(b, m)), float("%.1f" % b), 0.0, qs, qe, hs, he, cols))
+                bias = self.scanner.bias(seqs[k][qs:qe], m, hs, cols)
+                b = float(b) - bias
+                by.setdefault(k, []).append(Hit(self.scanner.profiles[m].name, float("%.1e" % self.scanner.evalue(b, m)), float("%.1f" % b), float("%.1f" % bias), qs, qe, hs, he, cols))
             for k, hits in by.items():
                 top = {h.hit_id: max(x.bitscore for x in hits if x.hit_id == h.hit_id) for h in hits}
                 out[k] = sorted(hits, key=lambda h: -top[h.hit_id])
@@ -94,7 +103,7 @@ class ReplayScan:
     def __init__(self, hits: dict[str, list[Hit]]):
         self.hits = hits
 
-    def __call__(self, seqs: list[str], threshold: float = 0.0) -> list[list[Hit]]:
+    def __call__(self, seqs: list[str], threshold: float | None = None) -> list[list[Hit]]:
         return [self.hits.get(s, []) for s in seqs]
 
 

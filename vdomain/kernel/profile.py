@@ -171,21 +171,21 @@ class Scanner:
         bits = (final - null[:, 0]) / LN2
         return (bits, kept, (x, n, stay, leave, g, run, emit)) if trace else bits
 
-    def paths(self, seqs: list[str], models: np.ndarray) -> list[list[tuple[int, int, int, int, str]]]:
-        """For each row the domains of the best path: (query start, query end, node start, node end, columns), ends exclusive.
+    def paths(self, seqs: list[str], models: np.ndarray, traced: tuple | None = None, rows: np.ndarray | None = None) -> list[list[tuple[int, int, int, int, str]]]:
+        """For each row (or those of `rows`) the domains of the best path: (query start, query end, node start, node end, columns), ends exclusive.
 
-        Columns are m, i and d from the first match to the last.
+        Columns are m, i and d from the first match to the last. traced: what viterbi() gave with trace, if that was run already.
         """
         if not seqs:
             return []
-        _, kept, (x, n, stay, leave, g, run, emit) = self.viterbi(seqs, models, trace=True)
+        _, kept, (x, n, stay, leave, g, run, emit) = traced or self.viterbi(seqs, models, trace=True)
         half = np.float32(math.log(0.5))
-        M, I, D = (np.stack([k[c] for k in kept]) for c in range(3))  # time, row, node
+        M, I, D = ([k[c] for k in kept] for c in range(3))  # by time: row, node
         B, J, C, E, N = (np.stack([k[c][:, 0] for k in kept]) for c in range(3, 8))
-        top_m, top_d = M.max(axis=2), D.max(axis=2)
         out = []
+        mm, im, dm = g["mm"], g["im"], g["dm"]
         close = lambda a, b: abs(float(a) - float(b)) < 1e-2
-        for r in range(len(seqs)):
+        for r in range(len(seqs)) if rows is None else rows.tolist():
             domains: list[tuple[int, int, int, int, str]] = []
             t = int(n[r]) - 1
             state = "C"
@@ -194,8 +194,8 @@ class Scanner:
             while t >= 0:
                 if state in "CJ":
                     if close((C if state == "C" else J)[t, r], E[t, r] + half):
-                        state = "M" if top_m[t, r] >= top_d[t, r] else "D"
-                        k, cols = int(np.argmax((M if state == "M" else D)[t, r])), []
+                        state = "M" if M[t][r].max() >= D[t][r].max() else "D"
+                        k, cols = int(np.argmax((M if state == "M" else D)[t][r])), []
                     else:
                         t -= 1
                     continue
@@ -203,18 +203,18 @@ class Scanner:
                     break
                 if state == "D":
                     cols.append("d")
-                    ways = M[t, r, :k] + g["md"][r, :k] - run[r, :k] - g["dd"][r, :k]
+                    ways = M[t][r, :k] + g["md"][r, :k] - run[r, :k] - g["dd"][r, :k]
                     j = int(np.argmax(ways))
                     cols += ["d"] * (k - j - 1)
                     k, state = j, "M"
                     continue
                 if state == "I":
                     cols.append("i")
-                    state = "M" if close(I[t, r, k], M[t - 1, r, k] + g["mi"][r, k]) else "I"
+                    state = "M" if close(I[t][r, k], M[t - 1][r, k] + g["mi"][r, k]) else "I"
                     t -= 1
                     continue
                 cols.append("m")
-                value = M[t, r, k] - emit[r, x[r, t], k]
+                value = M[t][r, k] - emit[r, x[r, t], k]
                 start_b = B[t - 1, r] if t else leave[r, 0]
                 if close(value, start_b + g["entry"][r, k]) or t == 0 or k == 0:
                     text = "".join(reversed(cols)).rstrip("d")
@@ -225,8 +225,8 @@ class Scanner:
                         break
                     state = "J" if J[t, r] >= N[t, r] and J[t, r] > NEG / 2 else "N"
                     continue
-                options = {"M": M[t - 1, r, k - 1] + g["mm"][r, k], "I": I[t - 1, r, k - 1] + g["im"][r, k], "D": D[t - 1, r, k - 1] + g["dm"][r, k]}
-                state = max(options, key=lambda s: options[s])
+                from_m, from_i, from_d = M[t - 1][r, k - 1] + mm[r][k], I[t - 1][r, k - 1] + im[r][k], D[t - 1][r, k - 1] + dm[r][k]
+                state = "M" if from_m >= from_i and from_m >= from_d else "I" if from_i >= from_d else "D"
                 k, t = k - 1, t - 1
             out.append(domains[::-1])
         return out
@@ -264,6 +264,15 @@ class Scanner:
         del rows
         return (final - null) / LN2
 
+    def bias(self, residues: str, model: int, node: int, columns: str) -> float:
+        """Bits that the domain's composition explains: its residues under the mean emission of the states that its path visits, at odds of 1 to 256."""
+        at = node + np.cumsum([c != "i" for c in columns]) - 1
+        match = at[[c == "m" for c in columns]]
+        inserted = columns.count("i")
+        mean = (self.odds[model][:20, match].sum(axis=1) + inserted) / max(1, len(match) + inserted)
+        x = _INDEX[np.frombuffer(residues.encode("latin-1", "replace"), np.uint8)]
+        return float(np.logaddexp(0, np.log(mean[x[x < 20]]).sum() - 8 * LN2) / LN2)
+
     def evalue(self, bits: float, model: int) -> float:
         mu, slope = self.profiles[model].tail
         return Z * min(1.0, math.exp(-slope * (bits - mu))) if bits > mu else float(Z)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,37 @@ def identity(query: str | Column, gene: str | Column) -> Column:
     return F.when(F.size(pairs) > 0, same / F.size(pairs)).otherwise(0.0)
 
 
+#: Letters of an aligned row by code, from 1; gaps are 0, and whatever else counts as one letter more.
+LETTERS, PLANES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*", 5
+
+
+def planes(aligned: str | Column) -> list[Column]:
+    """128 columns as ten longs: for each half and each bit of the letters' codes, where that bit is set."""
+    s = F.regexp_replace(F.rpad(F.upper(F.col(aligned) if isinstance(aligned, str) else aligned), 128, "-"), "[^A-Z*-]", "?")
+    out = []
+    for bit in range(PLANES):
+        # a translation gives 64 digits a half, which are read as a number in base 2
+        digits = F.translate(s, LETTERS + "?-", "".join(str(k >> bit & 1) for k in range(1, len(LETTERS) + 2)) + "0")
+        out += [F.conv(F.substring(digits, at, 64), 2, -10).cast("long") for at in (1, 65)]
+    return out
+
+
+def _same_columns(q: str, g: str) -> Column:
+    """How many columns of two rows of planes (arrays `q`, `g`) hold the same letter: no bit of their codes differs, and the gene's isn't a gap."""
+    count = []
+    for half in range(2):
+        pairs = [(F.col(q)[2 * b + half], F.col(g)[2 * b + half]) for b in range(PLANES)]
+        differs, there = (reduce(Column.bitwiseOR, x) for x in ([a.bitwiseXOR(b) for a, b in pairs], [b for _, b in pairs]))
+        count.append(F.bit_count(F.bitwise_not(differs).bitwiseAND(there)))
+    return count[0] + count[1]
+
+
 def best_by_identity(queries: DataFrame, genes: DataFrame, key: str, segment: str, on: list[str]) -> DataFrame:
     """(key, species, gene, identity): the first gene, by species and gene order, of those with the highest identity to `aligned_query`; nothing where it is 0."""
-    # both sides are split once per row, not once per pair; a gene's columns that count are its residues
-    g = genes.where(F.col("seg") == segment).select(*on, *(c for c in ("species", "species_ord", "gene", "gene_ord") if c not in on), F.split("aligned", "").alias("_g"), F.length("ungapped").alias("_n"))
-    q = queries.select(key, *on, F.split(F.upper("aligned_query"), "").alias("_q"))
-    same = F.size(F.filter(F.zip_with("_q", "_g", lambda a, b: (a == b) & (b != "-")), lambda x: x))
-    scored = q.join(g, on).withColumn("identity", F.when(F.col("_n") > 0, same / F.col("_n")).otherwise(0.0))
+    # both sides become bit masks once per row; a pair is compared by a few operations on longs
+    g = genes.where(F.col("seg") == segment).select(*on, *(c for c in ("species", "species_ord", "gene", "gene_ord") if c not in on), F.array(*planes("aligned")).alias("_g"), F.length("ungapped").alias("_n"))
+    q = queries.select(key, *on, F.array(*planes("aligned_query")).alias("_q"))
+    scored = q.join(g, on).withColumn("identity", F.when(F.col("_n") > 0, _same_columns("_q", "_g") / F.col("_n")).otherwise(0.0))
     best = scored.groupBy(key).agg(F.min(F.struct((-F.col("identity")).alias("lack"), "species_ord", "gene_ord", "species", "gene")).alias("b"))
     return best.where("b.lack < 0").select(key, F.col("b.species").alias("species"), F.col("b.gene").alias("gene"), (-F.col("b.lack")).alias("identity"))
 
@@ -64,9 +90,8 @@ def canonical_j_length(genes: DataFrame) -> DataFrame:
 def kmers(sequence: str | Column, k: int = KMER) -> Column:
     """Distinct k-mers over the reduced alphabet, sorted, as digits."""
     s = F.upper(F.col(sequence) if isinstance(sequence, str) else sequence)
-    for n, g in enumerate(GROUPS):
-        s = F.regexp_replace(s, f"[{g}]", str(n))
-    s = F.regexp_replace(s, "[^0-5]", str(len(GROUPS)))
+    grouped = "".join(GROUPS)
+    s = F.translate(F.regexp_replace(s, f"[^{grouped}]", "?"), grouped + "?", "".join(str(n) * len(g) for n, g in enumerate(GROUPS)) + str(len(GROUPS)))
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, F.lit(k)))))
 

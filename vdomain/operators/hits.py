@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHAINS = ("H", "K", "L", "A", "B", "G", "D")
@@ -34,10 +34,8 @@ def allowed(chain: str | Column, chains: tuple[str, ...] = CHAINS) -> Column:
 def limit_species(hits: DataFrame, key: str, species: list[str], threshold: float) -> DataFrame:
     """Hits over the threshold whose id starts with one of the species, once per such species; all hits of sequences that have none (reverted)."""
     own = F.size(F.filter(F.array(*map(F.lit, species)), lambda s: F.col("hit_id").startswith(s)))
-    marked = hits.withColumn("_own", F.when(F.col("bitscore") >= threshold, own).otherwise(0))
-    any_ = hits.select(key, "hit_id", "bitscore").withColumn("_own", F.when(F.col("bitscore") >= threshold, own).otherwise(0)).groupBy(key).agg((F.max("_own") == 0).alias("reverted"))
-    kept = marked.join(any_, key).where("reverted or _own > 0")
-    return kept.withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(F.col("reverted"), 1).otherwise(F.col("_own"))))).drop("_own", "_n")
+    marked = hits.withColumn("_own", F.when(F.col("bitscore") >= threshold, own).otherwise(0)).withColumn("reverted", F.max("_own").over(Window.partitionBy(key)) == 0)
+    return marked.where("reverted or _own > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.when(F.col("reverted"), 1).otherwise(F.col("_own"))))).drop("_own", "_n")
 
 
 def without_overlap(hits: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -66,3 +64,13 @@ def states(columns: str, query_start: str, hit_start: str) -> Column:
         F.when(F.length(columns) > 0, F.sequence(F.lit(1), F.length(columns))).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct((F.col(hit_start) + 1 + count(k, "md")).cast("int").alias("id"), at(k).alias("typ"), F.when(at(k) != "d", (F.col(query_start) + count(k, "mi")).cast("int")).alias("si")),
     )
+
+
+def extended(query_start: str, query_end: str, hit_start: str, hit_end: str, length: str | Column, model_length: str | Column, first: Column, alone: Column) -> dict[str, Column]:
+    """Bounds of a hit, extended at the ends where little of the model is missing: at the start of a sequence's first hit, as far as the sequence goes (where the
+    model misses more than the sequence has, only by the difference), and at the end of an only one."""
+    qs, qe, hs, he = map(F.col, (query_start, query_end, hit_start, hit_end))
+    length, model = (F.col(x) if isinstance(x, str) else x for x in (length, model_length))
+    more = F.when(first & (hs > 0) & (hs < 5), F.when(hs <= qs, hs).otherwise(F.least(qs, hs - qs))).otherwise(0)
+    tail = F.when(alone & (qe < length) & (he > 123) & (he < model), F.least(model - he, length - qe)).otherwise(0)
+    return {query_start: qs - more, query_end: qe + tail, hit_start: hs - more, hit_end: he + tail}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,19 +16,23 @@ from ..kernel.profile import Profile
 from ..kernel.schemes import NumberingError, check_numbering, number, resolve_scheme
 from ..operators import regions as R
 from ..operators.hits import CHAINS, chain_class
-from ..operators.sequences import RESIDUES, once_per_sequence, validation_error
+from ..operators.sequences import LONGEST, RESIDUES, validation_error
 from ..sources.reference import load_genes, load_profiles
 
 STATE = "struct<id:int,typ:string,si:int>"
 GERMLINE = "struct<empty:boolean,v_species:string,v_gene:string,v_identity:double,v_evalue:double,j_species:string,j_gene:string,j_identity:double,j_evalue:double>"
 DOMAIN = f"struct<id:string,species:string,chain_type:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int,scheme:string,state_vector:array<{STATE}>,residues:array<struct<num:int,ins:string,aa:string>>,start:int,end:int,germline:{GERMLINE},covered:struct<lo:int,hi:int>>"
 HIT = "struct<id:string,description:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int>"
-RESULT = f"sequence string, domains array<{DOMAIN}>, hits array<{HIT}>, reverted_species boolean, error string"
+RESULT_TYPES = {"domains": f"array<{DOMAIN}>", "hits": f"array<{HIT}>", "reverted_species": "boolean", "error": "string"}
+#: A hit to replay: columns are m, i and d from the first match to the last.
+REPLAYED = "struct<hit_id:string,evalue:double,bitscore:double,bias:double,query_start:int,query_end:int,hit_start:int,hit_end:int,columns:string>"
 
 
 @dataclass(frozen=True)
 class AnnotateOptions:
-    """scheme: a name or its first letter; allow: chain types to report; allowed_species: of genes; germline_method: evalue or identity.
+    """scheme: a name or its first letter; allow: chain types to report; allowed_species: of profiles and genes; germline_method: evalue or identity.
+
+    database: path of a profile file (the session's, or profiles built from the genes, unless told otherwise).
 
     assign_germline: report genes, not only the species; regions: add the regions that each domain covers; validate: refuse sequences with other letters or
     that are too long; fail_fast: raise instead of giving an error column; keep_tail: number the last framework of fragments that end in it.
@@ -44,6 +49,7 @@ class AnnotateOptions:
     fail_fast: bool = False
     keep_tail: bool = False
     min_length: int = 0
+    database: str | None = None
     batch: int = 256
 
 
@@ -58,7 +64,7 @@ def result_type() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(RESULT))
+    return to_arrow_schema(_parse_datatype_string(", ".join(f"{c} {t}" for c, t in RESULT_TYPES.items())))
 
 
 def covered(states: list[tuple[int, str, int | None]]) -> dict[str, int | None]:
@@ -68,33 +74,34 @@ def covered(states: list[tuple[int, str, int | None]]) -> dict[str, int | None]:
 
 
 def annotate_batch(seqs: list[str], scan: Scan, table: GeneTable, lengths: dict[str, int], o: AnnotateOptions) -> list[dict]:
-    """The kernel: results of distinct sequences, in order. A sequence that fails has an error and nothing else."""
-    scheme, species = resolve_scheme(o.scheme), list(o.allowed_species or [])
+    """The kernel: results of sequences, in order. A domain that can't be numbered leaves an error; its sequence's other domains stay."""
+    scheme, species, method = resolve_scheme(o.scheme), list(o.allowed_species or []), method_of(o.germline_method)
     todo = [k for k, s in enumerate(seqs) if len(s) >= o.min_length]
     out: list[dict] = [{"sequence": s, "domains": None, "hits": [], "reverted_species": False, "error": None} for s in seqs]
-    for k, p in zip(todo, domains_of([seqs[k] for k in todo], scan, o.bit_score_threshold, lengths)):
+    for k, p in zip(todo, domains_of([seqs[k] for k in todo], scan, o.bit_score_threshold, lengths, species)):
         seq = seqs[k]
         out[k]["hits"] = [{"id": h.hit_id, "description": "", "evalue": h.evalue, "bitscore": h.bitscore, "bias": h.bias, "query_start": h.query_start, "query_end": h.query_end} for h in p.hits]
-        # profiles are of no single species, so a wish for one never finds its own; genes decide
-        out[k]["reverted_species"] = bool(species) and bool(p.hits)
+        # profiles of no single species are always the other ones; then genes decide
+        out[k]["reverted_species"] = p.reverted
         domains = []
-        try:
-            for d, states, start, end in zip(p.domains, p.states, p.starts, p.ends):
-                if d.chain not in o.allow or not states:
-                    continue
+        for d, states, start, end in zip(p.domains, p.states, p.starts, p.ends):
+            if d.chain not in o.allow or not states:
+                continue
+            try:
                 residues, first, last = number(states, seq, scheme, d.chain, o.keep_tail)
                 if wrong := check_numbering(residues, seq):
                     raise NumberingError(wrong)
-                g: Germline = table.assign(states, seq, d.chain, o.germline_method if o.assign_germline else "identity", species)
-                germ = {f: (float(v) if isinstance(v := getattr(g, f), float) else v) for f in Germline.__dataclass_fields__} if o.assign_germline else None
-                domains.append(
-                    {"id": d.hit_id, "species": g.v_species or d.species, "chain_type": d.chain, "evalue": d.evalue, "bitscore": d.bitscore, "bias": d.bias, "query_start": start, "query_end": end, "scheme": scheme,
-                     "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": germ, "covered": covered(states)})
-            out[k]["domains"] = domains or None
-        except (NumberingError, IndexError) as e:
-            if o.fail_fast:
-                raise
-            out[k]["error"] = str(e)
+            except NumberingError as e:
+                if o.fail_fast:
+                    raise
+                out[k]["error"] = out[k]["error"] or str(e)
+                continue
+            g: Germline = table.assign(states, seq, d.chain, method if o.assign_germline else "identity", species)
+            germ = {f: (float(v) if isinstance(v := getattr(g, f), float) else v) for f in Germline.__dataclass_fields__} if o.assign_germline else None
+            domains.append(
+                {"id": d.hit_id, "species": g.v_species or d.species, "chain_type": d.chain, "evalue": d.evalue, "bitscore": d.bitscore, "bias": d.bias, "query_start": start, "query_end": end, "scheme": scheme,
+                 "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": germ, "covered": covered(states)})
+        out[k]["domains"] = domains or None
     return out
 
 
@@ -103,44 +110,74 @@ def _parts(profiles: list[Profile], genes: list[Gene]) -> tuple:
     return [(p.name, p.match, p.step, p.tail) for p in profiles], [(g.segment, g.chain, g.species, g.species_ord, g.name, g.gene_ord, g.aligned) for g in genes]
 
 
-def annotate(df: DataFrame, options: AnnotateOptions = AnnotateOptions(), profiles: list[Profile] | None = None, genes: list[Gene] | None = None, replay: dict[str, list[Hit]] | None = None, distinct: bool = True) -> DataFrame:
-    """`df`, which has a `sequence` column, with domains (null if there are none), hits, reverted_species and error.
+#: Columns that annotate() adds.
+RESULTS = ("domains", "hits", "reverted_species", "error")
+#: Bytes of profiles and genes that are sent to every executor, at most.
+MOST_SENT = 256 << 20
+
 
-    Each distinct sequence is scanned once (`distinct`: skip that where few repeat, or in a stream). Profiles and genes are a few MB and are sent to executors.
-    A null sequence has nulls. replay: hits to use instead of a scan, by sequence.
+def annotate(df: DataFrame, options: AnnotateOptions = AnnotateOptions(), profiles: list[Profile] | None = None, genes: list[Gene] | None = None, replay: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """`df`, which has a `sequence` column, with domains (null if there are none), hits, reverted_species and error; its own columns of these names give way.
+
+    Each distinct sequence is scanned once (`distinct`: skip that where few repeat, or in a stream; rows then go through the scan with all their columns).
+    A null sequence has nulls. replay: (sequence, hits: array of REPLAYED) to use instead of a scan, joined by sequence; those without an entry have no hits.
     """
     spark = df.sparkSession
     genes = genes or load_genes(spark)
     o = options
     resolve_scheme(o.scheme)
-    held = spark.sparkContext.broadcast(_parts(profiles or load_profiles(spark, None, genes), genes))
+    method_of(o.germline_method)
+    parts = _parts([] if replay is not None else profiles or load_profiles(spark, o.database, genes), genes)
+    if (size := len(pickle.dumps(parts))) > MOST_SENT:
+        raise ValueError(f"profiles and genes take {size} bytes; {MOST_SENT} can be sent to all executors")
+    held = spark.sparkContext.broadcast(parts)
     letters, kind = set(RESIDUES), result_type()
+    results, replayed = [kind.field(c) for c in RESULTS], replay is not None
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in RESULTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ps, gs = held.value
         own = [Gene(*g) for g in gs]
         table, lengths = GeneTable(own), canonical_j_lengths(own)
-        scan = ReplayScan(replay) if replay is not None else ProfileScan([Profile(*p) for p in ps])
-        for b in batches:
-            seqs = b.column(0).to_pylist()
-            for lo in range(0, len(seqs), o.batch):
-                part = seqs[lo : lo + o.batch]
-                good = [s for s in part if not o.validate or s and len(s) < 10_000 and set(s.upper()) <= letters]
-                done = annotate_batch(good, scan, table, lengths, o)
-                bad = set(part).difference(good)
-                rows = done + [{"sequence": s, "domains": None, "hits": [], "reverted_species": False, "error": "invalid"} for s in part if s in bad]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kind], schema=kind)
+        scan = None if replayed else ProfileScan([Profile(*p) for p in ps])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, o.batch):
+                b = whole.slice(lo, o.batch)
+                seqs = b.column("sequence").to_pylist()
+                good = [k for k, s in enumerate(seqs) if s is not None and (not o.validate or s and len(s) < LONGEST and set(s.upper()) <= letters)]
+                use = scan
+                if replayed:
+                    hits = b.column("_replayed").to_pylist()
+                    use = ReplayScan({seqs[k]: [Hit(**h) for h in hits[k] or []] for k in good})
+                rows: list[dict] = [dict.fromkeys(RESULTS)] * len(seqs)
+                for k, r in zip(good, annotate_batch([seqs[k] for k in good], use, table, lengths, o)):
+                    rows[k] = r
+                for k in set(range(len(seqs))).difference(good):
+                    if seqs[k] is not None:
+                        rows[k] = {"domains": None, "hits": [], "reverted_species": False, "error": "invalid"}
+                kept = [c for c in b.schema.names if c != "_replayed"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[f.name] for r in rows], f.type) for f in results)], [*kept, *RESULTS])
 
     def kernel(d: DataFrame) -> DataFrame:
-        out = d.select("sequence").mapInArrow(run, RESULT)
+        schema = d.drop("_replayed").select("*", *(F.lit(None).cast(t).alias(c) for c, t in RESULT_TYPES.items()))._jdf.schema().toDDL()
+        out = d.mapInArrow(run, schema)
         if o.regions:  # before results are joined back: once per distinct sequence
             out = out.withColumn("domains", F.transform("domains", lambda d: d.withField("regions", R.as_map(d["covered"]["lo"], d["covered"]["hi"]))))
         return out
 
+    def with_replay(d: DataFrame) -> DataFrame:
+        if replay is None:
+            return d
+        known = replay.groupBy("sequence").agg(F.first("hits").alias("_replayed"))
+        return d.join(known, "sequence", "left")
+
     if not distinct:
-        out = kernel(df.where("sequence is not null"))
+        out = kernel(with_replay(df))
     else:
-        out = once_per_sequence(df, lambda d: kernel(d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        # one exchange: rows are dealt out by sequence, and each task drops its repeats
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        once = df.where("sequence is not null").select("sequence").repartition(n, "sequence").dropDuplicates()
+        out = df.join(kernel(with_replay(once)), "sequence", "left").select(*df.columns, *RESULTS)
     if o.validate:
         out = out.withColumn("error", F.coalesce(validation_error("sequence"), "error"))
         if o.fail_fast:
@@ -188,12 +225,12 @@ def sequences(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def from_input(spark: SparkSession, source: str | list[tuple[str, str]]) -> DataFrame:
-    """Pairs, the path of a FASTA file, or one raw sequence, which is validated and named "Input sequence"."""
-    from ..sources.fasta import read_fasta
+    """Pairs, the path of a FASTA file that is there, or one raw sequence, which is validated and named "Input sequence"."""
+    from ..sources.fasta import read_fasta, there
 
     if not isinstance(source, str):
         return sequences(spark, source)
-    if "/" in source or "." in source:
+    if there(spark, source):
         return read_fasta(spark, source)
     bad = sorted(set(source.upper()) - set(RESIDUES))
     if bad or len(source) >= 10_000:

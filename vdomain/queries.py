@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions.alignment import sw_identity, sw_score
 from .kernel.genes import built_in
 from .kernel.sw import K, LAMBDA
@@ -57,10 +58,9 @@ _STATUS = ", ".join(f"CASE WHEN hi < {a} OR lo > {b} THEN 'absent' WHEN lo <= {a
 @query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, 1 + l_partkey % 128 AS lo, least(128, 1 + l_partkey % 128 + l_suppkey % 128) AS hi FROM lineitem)
 SELECT l_orderkey, l_linenumber, lo, hi, {_STATUS} FROM s""")
 def region_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct span is classified once, and joined back to its rows."""
+    """A projection: seven cases a row."""
     spans = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 128).alias("lo"), F.col("l_suppkey")).withColumn("hi", F.least(F.lit(128), F.col("lo") + F.col("l_suppkey") % 128)).drop("l_suppkey")
-    keyed = spans.withColumn("span", F.col("lo") * 1000 + F.col("hi"))
-    return S.once_per_sequence(keyed, lambda d: d.select("span", *[c.alias(r) for r, c in R.annotate(F.floor(F.col("span") / 1000), F.col("span") % 1000).items()]), "span").drop("span")
+    return spans.select("l_orderkey", "l_linenumber", "lo", "hi", *(c.alias(r) for r, c in R.annotate("lo", "hi").items()))
 
 
 @query(f"SELECT p_partkey, {_res('p_partkey % 100')} AS sequence, CAST(32 - length(replace({_res('p_partkey % 100')}, 'A', '')) AS INTEGER) AS n_alanine FROM part")
@@ -166,7 +166,7 @@ def _query_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An aligned row for each order: a V gene of its chain, with every residue column whose digest letter is A replaced by it."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, _CHAINS)), (1 + F.col("o_orderkey") % 7).cast("int")).alias("chain"), *[residues(F.concat(F.col("o_orderkey").cast("string"), F.lit(f":{k}"))).alias(f"d{k}") for k in range(4)])
     v = genes(spark).where("seg = 'V'").groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("species_ord", "gene_ord", "aligned"))).alias("vs"))
-    j = o.join(F.broadcast(v), "chain").withColumn("base", F.element_at("vs", (1 + F.floor(F.col("o_orderkey") / 7) % F.size("vs")).cast("int"))["aligned"]).withColumn("noise", F.concat("d0", "d1", "d2", "d3"))
+    j = o.join(v, "chain").withColumn("base", F.element_at("vs", (1 + F.floor(F.col("o_orderkey") / 7) % F.size("vs")).cast("int"))["aligned"]).withColumn("noise", F.concat("d0", "d1", "d2", "d3"))
     mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.when(F.substring("noise", i, F.lit(1)).isin("A", "C"), F.substring("noise", i, F.lit(1))).otherwise(F.substring("base", i, F.lit(1)))), "")
     return j.select("o_orderkey", "chain", mixed.alias("aligned_query"))
 
@@ -228,10 +228,11 @@ SELECT p_partkey, gene_index, hits, rank FROM r WHERE rank <= 5""")
 def kmer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = spark.createDataFrame([(k, g.ungapped) for k, g in enumerate(_GENES)], "gene_index int, ungapped string")
     q = read(spark, sf_dir, "part").select("p_partkey", residues("p_partkey").alias("sequence"))
-    return G.top_by_kmers(q, F.broadcast(index), "p_partkey", 5)
+    return G.top_by_kmers(q, index, "p_partkey", 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {oracle.ALIGNED}
+SELECT p_partkey, a, b, CAST(best.v AS BIGINT) AS score, CASE WHEN best.v > 0 THEN CAST(best.s AS DOUBLE) / best.c ELSE 0 END AS identity FROM d WHERE k = 1024""")
 def sw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's whole sequence against that of the part before it."""
     p = read(spark, sf_dir, "part").select("p_partkey", residues("p_partkey").alias("a"), residues((F.col("p_partkey") - 1).cast("string")).alias("b"))
@@ -288,7 +289,10 @@ def gap_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", r.alias("r")).select("o_orderkey", N.fill_gaps("r").alias("f")).select("o_orderkey", _shown("f").alias("numbering"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS contiguous FROM orders")
+@query(f"""WITH s AS (SELECT o_orderkey, {_res("o_orderkey")} AS sequence FROM orders),
+p AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN substr(sequence, 5, 9) || 'W' ELSE substr(sequence, 5, 10) END AS part FROM s),
+r AS (SELECT *, list_transform(range(1, 11), lambda i: CASE WHEN o_orderkey % 7 = 0 AND i = 10 THEN 0 ELSE i END) AS nums FROM p)
+SELECT o_orderkey, len(list_filter(range(2, 11), lambda i: nums[i] < nums[i - 1])) = 0 AND strpos(sequence, part) > 0 AS contiguous FROM r""")
 def contiguity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth row has a letter of its own, every seventh a number that falls."""
     k = F.col("o_orderkey")
@@ -309,19 +313,30 @@ def align_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.posexplode(H.states("c", "qs", "hs")).alias("pos", "s")).select("o_orderkey", "pos", F.col("s.id").cast("long").alias("id"), "s.typ", "s.si")
 
 
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS qs, CAST(100 + o_orderkey % 9 AS INTEGER) AS qe, CAST(o_orderkey // 7 % 6 AS INTEGER) AS hs, CAST(120 + o_orderkey // 3 % 9 AS INTEGER) AS he,
+  CAST(104 + o_orderkey % 5 AS INTEGER) AS length, o_orderkey % 4 <> 0 AS first, o_orderkey % 3 <> 0 AS alone FROM orders),
+m AS (SELECT *, CASE WHEN NOT first OR hs NOT BETWEEN 1 AND 4 THEN 0 WHEN qs >= hs THEN hs WHEN hs - qs < qs THEN hs - qs ELSE qs END AS more, CASE WHEN alone AND he BETWEEN 124 AND 127 AND length > qe THEN least(128 - he, length - qe) ELSE 0 END AS tail FROM s)
+SELECT o_orderkey, qs - more AS qs, qe + tail AS qe, hs - more AS hs, he + tail AS he FROM m""")
+def terminal_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    h = read(spark, sf_dir, "orders").select(
+        "o_orderkey", (k % 7).cast("int").alias("qs"), (100 + k % 9).cast("int").alias("qe"), (F.floor(k / 7) % 6).cast("int").alias("hs"), (120 + F.floor(k / 3) % 9).cast("int").alias("he"), (104 + k % 5).cast("int").alias("length"))
+    return h.select("o_orderkey", *(c.alias(n) for n, c in H.extended("qs", "qe", "hs", "he", "length", F.lit(128), k % 4 != 0, k % 3 != 0).items()))
+
+
 # --- the kernel ---------------------------------------------------------------------------------------
 
 
 def made_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A domain for each order, from its own key: a V gene of its chain, 4 to 11 digest residues, a J gene; one order in three has few substitutions."""
-    by: dict[tuple[str, str], list[str]] = {}
-    for g in _GENES:
-        by.setdefault((g.chain, g.segment), []).append(g.ungapped)
-    rows = [(k, c, v, j) for k, (c, v, j) in enumerate((c, v, j) for c in _CHAINS for v in by[c, "V"] for j in by[c, "J"][:2])]
+    """A domain for each order, from its own key: a V gene of its chain, 3 to 6 digest residues, a J gene; one order in three has few substitutions.
+
+    With short loops the best path goes through the whole domain, so the numbering follows from the genes' columns, which is what the SQL goes by.
+    """
+    rows = [(k, c, v.ungapped, j.ungapped) for k, (c, v, j) in enumerate(oracle.pairs_of(_GENES))]
     parts = F.broadcast(spark.createDataFrame(rows, "pair int, chain string, v string, j string"))
     k, turn = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / len(rows))  # by turns, each pair meets each length and both kinds
     o = read(spark, sf_dir, "orders").select("o_orderkey").withColumn("pair", (k % len(rows)).cast("int"))
-    loop = F.substring(residues("o_orderkey"), F.lit(1), (4 + turn % 8).cast("int"))
+    loop = F.substring(residues("o_orderkey"), F.lit(1), (3 + turn % 4).cast("int"))
     # two framework residues, at places and to letters that further digests of the key give
     noise = residues(F.concat(k.cast("string"), F.lit(":v")))
     at = lambda first, bits: (first + F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(":at"))), bits, 1), 16, 10).cast("int")).cast("int")
@@ -340,7 +355,7 @@ def _numbered(scheme: str) -> Query:
 
 
 for _scheme in ("imgt", "chothia", "kabat", "martin", "aho", "wolfguy"):
-    query()(_numbered(_scheme))
+    query(f"WITH {oracle.numbered(_scheme)} SELECT o_orderkey, chain, CASE WHEN numbering IS NOT NULL THEN chain END AS found, numbering, error FROM numbered")(_numbered(_scheme))
 
 
 @query()
@@ -354,7 +369,18 @@ def annotate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.domain_rows(a).select("o_orderkey", "chain", "chain_type", "species", "bitscore", "germline.v_gene", "germline.v_identity", "germline.j_gene", F.col("covered.lo").alias("covered_lo"), F.col("covered.hi").alias("covered_hi"), F.col("regions")["cdr3"].alias("cdr3"))
 
 
-@query()
+_OTHER_J = " ".join(f"WHEN chain = '{c}' AND v_species = '{sp}' THEN '{js[0]}'" for c in _CHAINS for sp in dict.fromkeys(g.species for g in _GENES) if len(js := [g.name for g in _GENES if (g.chain, g.segment, g.species) == (c, "J", sp)]) == 1)
+
+
+@query(f"""WITH {oracle.MADE}, j AS (SELECT *, j_gene IN (SELECT gene FROM genes_j WHERE species = v_species AND genes_j.chain = made.chain) AS own FROM made)
+SELECT o_orderkey, chain, chain AS chain_type, v_species AS species, v_gene, CASE WHEN own THEN j_gene ELSE CASE {_OTHER_J} END END AS j_gene, 1 AS covered_lo, CASE WHEN chain IN ('K', 'L', 'B') THEN 127 ELSE 128 END AS covered_hi, 'complete' AS cdr3 FROM j""".replace("WITH ", "WITH genes_j(chain, species, gene) AS (VALUES " + ", ".join(f"('{g.chain}', '{g.species}', '{g.name}')" for g in _GENES if g.segment == "J") + "), ", 1))
+def annotate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What annotate_end_to_end() reports without its scores: the genes that each sequence was made from, J genes being of the V gene's species."""
+    return annotate_end_to_end(spark, sf_dir).drop("bitscore", "v_identity")
+
+
+@query(f"""WITH {oracle.numbered("kabat")}
+SELECT o_orderkey, chain, CASE WHEN error IS NULL THEN CASE WHEN chain = 'H' THEN 'H' ELSE 'L' END END AS chain_class, CAST(len(string_split(numbering, ' ')) AS INTEGER) AS n, error AS reason FROM numbered""")
 def number_first_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = E.number_first(made_sequences(spark, sf_dir), "kabat")
     return n.select("o_orderkey", "chain", "chain_class", F.size("numbering").alias("n"), "reason")
@@ -370,7 +396,10 @@ def long_cdr3_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("o_orderkey", F.length("sequence").alias("length"), F.try_element_at("domains", F.lit(1)).alias("d")).select("o_orderkey", "length", "d.query_end", F.size("d.residues").alias("n"))
 
 
-@query()
+_AT = "CAST(sum(CAST(list_contains(string_split(numbering, ' '), '%s') AS INTEGER)) AS BIGINT) AS %s"
+
+
+@query(f"""WITH {oracle.numbered("imgt")} SELECT chain AS chain_type, count(*) AS n, {_AT % ("23:C", "c23")}, {_AT % ("41:W", "w41")}, {_AT % ("104:C", "c104")} FROM numbered GROUP BY chain""")
 def anchor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the conserved residues C23, W41 and C104 stand in their columns, by chain."""
     d = E.domain_rows(E.annotate(made_sequences(spark, sf_dir)))

@@ -12,6 +12,16 @@ SCHEMA = "seq_id string, sequence string"
 BAD = "This FASTA file has text before its first header"
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file, a folder or a pattern of them exists where Spark would look for it."""
+    sc = spark.sparkContext
+    try:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p))
+    except Exception:  # noqa: BLE001  what isn't a path at all, as Java sees it
+        return False
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(seq_id, sequence) of FASTA files: id is the header's first word, lines are trimmed and joined, letters stay as they are.
 
