@@ -55,6 +55,8 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        # Spark deletes the shuffle files of what is written now once the driver's JVM has collected its garbage
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         for old in replaces:

@@ -84,9 +84,9 @@ def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
 # --- one level: runs by part, and what comes back ------------------------------------------------------
 
 #: Rows of a level: documents with their runs (blob: twice the number, and one more at the part's earliest place; place; h1; h2), and each distinct run of the part with that place.
-#: Level one, which only filters, has neither hashes in its blobs nor h2 and places in its rows.
-LEVEL = "part long, rid long, id long, c1 long, blob binary, h1 long, h2 long, number long, twice boolean, at long"
-_KINDS = {"part": pa.int64(), "rid": pa.int64(), "id": pa.int64(), "c1": pa.int64(), "blob": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "number": pa.int64(), "twice": pa.bool_(), "at": pa.int64()}
+#: Level one, which only filters, has neither hashes in its blobs nor h2 and places in its rows; it alone has c1, as copies of a text are still apart there.
+LEVEL = "part long, doc long, c1 long, blob binary, h1 long, h2 long, number long, twice boolean, at long"
+_KINDS = {"part": pa.int64(), "doc": pa.int64(), "c1": pa.int64(), "blob": pa.binary(), "h1": pa.int64(), "h2": pa.int64(), "number": pa.int64(), "twice": pa.bool_(), "at": pa.int64()}
 
 
 class Part:
@@ -100,9 +100,9 @@ class Part:
         self.docs: list[tuple] = []
         self.runs = 0
 
-    def add(self, rid: int, id_: int | None, c1: int, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc: int, c1: int | None, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(at):
-            self.docs.append((rid, id_, c1, at.astype(np.int64), h1.view(np.int64), h2.view(np.int64)))
+            self.docs.append((doc, c1, at.astype(np.int64), h1.view(np.int64), h2.view(np.int64)))
             self.runs += len(at)
         if self.runs >= PART_RUNS:
             yield from self.rows()
@@ -111,13 +111,11 @@ class Part:
         if not self.docs:
             return
         part, self.nth = self.base + self.nth, self.nth + 1
-        size = np.array([len(d[3]) for d in self.docs])
+        doc = np.array([d[0] for d in self.docs])
+        size = np.array([len(d[2]) for d in self.docs])
         of = np.repeat(np.arange(len(size)), size)
-        at, h1, h2 = (np.concatenate([d[k] for d in self.docs]) for k in (3, 4, 5))
-        # documents by id (those without one last), then by their words; of equal runs the first is the earliest
-        rank = np.empty(len(size), np.int64)
-        rank[sorted(range(len(size)), key=lambda k: (self.docs[k][1] is None, self.docs[k][1] or 0, self.docs[k][2]))] = np.arange(len(size))
-        order = np.lexsort((at, rank[of], h2, h1))
+        at, h1, h2 = (np.concatenate([d[k] for d in self.docs]) for k in (2, 3, 4))
+        order = np.lexsort((at, doc[of], h2, h1))  # of equal runs the first is the earliest
         new = np.ones(len(order), bool)
         new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         number = np.empty(len(order), np.int64)
@@ -129,13 +127,13 @@ class Part:
         cuts = np.cumsum(size)
         kept = (flagged, at) if self.filters else (flagged, at, h1, h2)
         blobs = [packed(*(c[b - n : b] for c in kept)) for b, n in zip(cuts, size)]
-        yield _batch(part=np.full(len(size), part), rid=[d[0] for d in self.docs], blob=blobs)
-        rid, ids, c1 = (pa.array([d[k] for d in self.docs], pa.int64()).take(pa.array(of[first])) for k in (0, 1, 2))
+        yield _batch(part=np.full(len(size), part), doc=doc, blob=blobs)
+        c1 = pa.array([d[1] for d in self.docs], pa.int64()).take(pa.array(of[first]))
         for lo in range(0, len(first), 100_000):
             s = slice(lo, lo + 100_000)
             n = len(first[s])
-            own = {"part": np.full(n, part), "c1": c1[s], "h1": h1[first[s]], "number": np.arange(lo, lo + n), "twice": twice[s]}
-            yield _batch(**own) if self.filters else _batch(**own, rid=rid[s], id=ids[s], h2=h2[first[s]], at=at[first[s]])
+            own = {"part": np.full(n, part), "h1": h1[first[s]], "number": np.arange(lo, lo + n), "twice": twice[s]}
+            yield _batch(**own, c1=c1[s]) if self.filters else _batch(**own, doc=doc[of[first[s]]], h2=h2[first[s]], at=at[first[s]])
         self.docs, self.runs = [], 0
 
 
@@ -145,13 +143,14 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False, filters: bool = False) -> DataFrame:
-    """Rows that `each` makes of a level's documents with repeated runs, from rid, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`)."""
+    """Rows that `each` makes of a level's documents with repeated runs, from the document, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`)."""
     run = Window.partitionBy("h1") if filters else Window.partitionBy("h1", "h2")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "c1", "at")
-    wins = F.min(place).over(run).eqNullSafe(place) if earliest else F.lit(False)
-    asked = level.where("blob is null").select("part", "number", wins.alias("wins"), (F.max("twice").over(run) | (F.min("c1").over(run) < F.max("c1").over(run))).alias("repeats"))
-    back = asked.where("repeats").select("part", "number", "wins", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("binary").alias("blob"))
-    docs = level.where("blob is not null").select("part", F.lit(None).cast("long").alias("number"), F.lit(None).cast("boolean").alias("wins"), "rid", "blob")
+    place = F.struct("doc", "at")
+    wins = F.min(place).over(run) == place if earliest else F.lit(False)
+    elsewhere = F.min("c1").over(run) < F.max("c1").over(run) if filters else F.count("*").over(run) > 1
+    asked = level.where("blob is null").select("part", "number", wins.alias("wins"), (F.max("twice").over(run) | elsewhere).alias("repeats"))
+    back = asked.where("repeats").select("part", "number", "wins", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("blob"))
+    docs = level.where("blob is not null").select("part", F.lit(None).cast("long").alias("number"), F.lit(None).cast("boolean").alias("wins"), "doc", "blob")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +162,7 @@ def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray
                 if parts[lo] != part:
                     part, answers, marks = parts[lo], [], None
                 own = b.slice(lo, hi - lo)
-                n = own.column("rid").null_count  # answers come before documents
+                n = own.column("doc").null_count  # answers come before documents
                 if n:
                     answers.append((own.column("number").slice(0, n).to_numpy(zero_copy_only=False).astype(np.int64), own.column("wins").slice(0, n).to_numpy(zero_copy_only=False).astype(np.int8)))
                     marks = None
@@ -173,27 +172,27 @@ def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray
                     marks = np.zeros(max((int(a.max()) for a, _ in answers), default=-1) + 2, np.int8)
                     for a, w in answers:
                         marks[a] = 1 + w
-                for rid, blob in zip(own.column("rid").slice(n).to_pylist(), own.column("blob").slice(n).to_pylist()):
+                for doc, blob in zip(own.column("doc").slice(n).to_pylist(), own.column("blob").slice(n).to_pylist()):
                     columns = unpacked(blob, 2 if filters else 4)
                     mark = marks[np.minimum(columns[0] >> 1, len(marks) - 1)]
                     if mark.any():
-                        out.append(each(rid, mark, columns))
+                        out.append(each(doc, mark, columns))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in map(list, zip(*out))], names)
 
     n = partitions(level.sparkSession)
-    return back.unionByName(docs).repartition(n, "part").sortWithinPartitions("part", F.col("rid").isNotNull(), "rid").mapInArrow(made, schema)
+    return back.unionByName(docs).repartition(n, "part").sortWithinPartitions("part", F.col("doc").isNotNull(), "doc").mapInArrow(made, schema)
 
 
-def _alive(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
-    return rid, np.sort(columns[1][mark > 0]).tobytes()
+def _alive(doc: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
+    return doc, np.sort(columns[1][mark > 0]).tobytes()
 
 
-def _settled(rid: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
+def _settled(doc: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
     """Repeated runs (place, h1, h2), and the places of those that go: all but the earliest of each."""
     flagged, at, h1, h2 = columns
     keep = mark > 0
-    return rid, packed(at[keep], h1[keep], h2[keep]), at[keep & ~((mark == 2) & (flagged % 2 == 1))].tobytes()
+    return doc, packed(at[keep], h1[keep], h2[keep]), at[keep & ~((mark == 2) & (flagged % 2 == 1))].tobytes()
 
 
 # --- the operator -------------------------------------------------------------------------------------
@@ -218,20 +217,20 @@ def _survey(texts: DataFrame, window: int) -> DataFrame:
                 if c in seen:  # a copy in this part: its own repeats are known, and it has nothing of its own to send
                     continue
                 seen.add(c)
-                yield from map(_with_rows, part.add(rid, i, c[0], at, halves[at], halves[at]))
+                yield from map(_with_rows, part.add(rid, c[0], at, halves[at], halves[at]))
                 if not part.docs:
                     seen.clear()
             yield _rows_only(rows)
         yield from map(_with_rows, part.rows())
 
-    return texts.mapInArrow(run, f"{LEVEL}, c2 long, n_words long, sha string")
+    return texts.mapInArrow(run, f"{LEVEL}, rid long, id long, c2 long, n_words long, sha string")
 
 
-_SURVEY = {**_KINDS, "c2": pa.int64(), "n_words": pa.int64(), "sha": pa.string()}
+_SURVEY = {**_KINDS, "rid": pa.int64(), "id": pa.int64(), "c2": pa.int64(), "n_words": pa.int64(), "sha": pa.string()}
 
 
 def _with_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, _SURVEY[k]) for k in ("c2", "n_words", "sha"))], list(_SURVEY))
+    return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, _SURVEY[k]) for k in _SURVEY if k not in _KINDS)], list(_SURVEY))
 
 
 def _rows_only(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,39 +239,39 @@ def _rows_only(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _extended(texts: DataFrame, window: int) -> DataFrame:
-    """(rid, id, c1, text, alive: places of halves) to the level of windows whose least half is one of those."""
+    """(doc, text, alive: places of halves) to the level of windows whose least half is one of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordHashes(), Part()
         for b in pieces(batches):
-            for rid, i, c1, t, alive in zip(*(b.column(c).to_pylist() for c in ("rid", "id", "c1")), texts_of(b.column("text")), b.column("alive").to_pylist()):
+            for doc, t, alive in zip(b.column("doc").to_pylist(), texts_of(b.column("text")), b.column("alive").to_pylist()):
                 w = words.of(t.split())
                 at, _ = least_halves(w, window)
                 found = np.flatnonzero(np.isin(at, np.frombuffer(alive, _WORD)))
                 if len(found):
-                    yield from part.add(rid, i, c1, found, run_hashes(w, window)[found], run_hashes(_mix(w), window, BASES[1])[found])
+                    yield from part.add(doc, None, found, run_hashes(w, window)[found], run_hashes(_mix(w), window, BASES[1])[found])
         yield from part.rows()
 
-    return texts.mapInArrow(run, LEVEL)
+    return texts.select("doc", "text", "alive").mapInArrow(run, LEVEL)
 
 
 def _twice_as_long(survivors: DataFrame, words: int) -> DataFrame:
-    """(rid, places of repeated runs of so many words with their hashes) to the level of runs of twice the words, both of whose halves repeat."""
+    """(doc, places of repeated runs of so many words with their hashes) to the level of runs of twice the words, both of whose halves repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Part()
         for b in pieces(batches):
-            for rid, blob in zip(b.column("rid").to_pylist(), b.column("runs").to_pylist()):
+            for doc, blob in zip(b.column("doc").to_pylist(), b.column("runs").to_pylist()):
                 at, h1, h2 = unpacked(blob, 3)
                 order = np.argsort(at)
                 at, h1, h2 = at[order], h1[order].view(np.uint64), h2[order].view(np.uint64)
                 second = np.minimum(np.searchsorted(at, at + words), len(at) - 1)
                 ok = np.flatnonzero(at[second] == at + words)
                 second = second[ok]
-                yield from part.add(rid, rid, rid, at[ok], doubled(h1[ok], h1[second], words, BASES[0]), doubled(h2[ok], h2[second], words, BASES[1]))
+                yield from part.add(doc, None, at[ok], doubled(h1[ok], h1[second], words, BASES[0]), doubled(h2[ok], h2[second], words, BASES[1]))
         yield from part.rows()
 
-    return survivors.mapInArrow(run, LEVEL)
+    return survivors.select("doc", "runs").mapInArrow(run, LEVEL)
 
 
 def cover(n_words: int, places: bytes, window: int) -> np.ndarray:
@@ -285,15 +284,15 @@ def cover(n_words: int, places: bytes, window: int) -> np.ndarray:
 
 
 def _longest(settled: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(rid, longest): words of the longest of the runs of window, twice the window, and so on that repeat in a document; levels go on until no candidates survive."""
-    found, words, survivors = settled.where("length(runs) > 0").select("rid", F.lit(window).cast("long").alias("longest")), window, settled
+    """(doc, longest): words of the longest of the runs of window, twice the window, and so on that repeat in a document; levels go on until no candidates survive."""
+    found, words, survivors = settled.where("length(runs) > 0").select("doc", F.lit(window).cast("long").alias("longest")), window, settled
     while True:
         level = scratch.table(_twice_as_long(survivors, words))
         words *= 2
-        survivors = scratch.table(_answered(level, _settled, "rid long, runs binary, gone binary"), level)
+        survivors = scratch.table(_answered(level, _settled, "doc long, runs binary, gone binary"), level)
         if survivors.isEmpty():
-            return found.groupBy("rid").agg(F.max("longest").alias("longest"))
-        found = found.union(survivors.select("rid", F.lit(words).cast("long")))
+            return found.groupBy("doc").agg(F.max("longest").alias("longest"))
+        found = found.union(survivors.select("doc", F.lit(words).cast("long")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, columns: list[str] | None = None, prefix: str = "", longest: bool = False) -> DataFrame:
@@ -326,16 +325,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # exact copies: all but the first lose every word, if they hold a window at all
     ids = F.struct("no_id", "idz")
     first = rows.groupBy("c1", "c2").agg(F.min(F.struct("no_id", "idz", "rid")).alias("f"), (F.min(ids) != F.max(ids)).alias("copied")).select("c1", "c2", "f.no_id", "f.idz", F.col("f.rid").alias("first_rid"), "copied")
-    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "rid long, alive binary", filters=True)
-    asked = halves.join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("first_rid").agg(F.first("c1").alias("c1"), F.first("alive").alias("alive"))
-    asked = scratch.table(asked.withColumnRenamed("first_rid", "rid"), survey)
-    level = scratch.table(_extended(texts.join(asked, "rid"), window), asked)
-    settled = scratch.table(_answered(level, _settled, "rid long, runs binary, gone binary", earliest=True), level)
-    found = settled.select(F.col("rid").alias("first_rid"), F.col("gone").alias("_gone"))
+    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "doc long, alive binary", filters=True).withColumnRenamed("doc", "rid")
+    asked = halves.join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("no_id", "idz", "c1", "c2").agg(F.first("first_rid").alias("rid"), F.first("alive").alias("alive"))
+    # documents are numbered in their order: by id, then by their words
+    asked = scratch.table(asked.orderBy("no_id", "idz", "c1", "c2").select("rid", "alive", F.monotonically_increasing_id().alias("doc")), survey)
+    level = scratch.table(_extended(texts.join(asked, "rid"), window))
+    settled = scratch.table(_answered(level, _settled, "doc long, runs binary, gone binary", earliest=True), level)
+    found = settled.select("doc", F.col("gone").alias("_gone"))
     if longest:
-        found = found.join(scratch.table(_longest(settled, window, scratch)).withColumnRenamed("rid", "first_rid"), "first_rid", "left")
+        found = found.join(scratch.table(_longest(settled, window, scratch)), "doc", "left")
     else:
         found = found.withColumn("longest", F.lit(None).cast("long"))
+    found = found.join(asked.select("doc", F.col("rid").alias("first_rid")), "doc").drop("doc")
     state = rows.join(first, ["c1", "c2", "no_id", "idz"], "left").withColumn("copy", F.col("first_rid").isNull()).withColumn("first_rid", F.coalesce("first_rid", -1 - F.col("rid")))
     state = scratch.table(state.join(found, "first_rid", "left").select("rid", F.col("n_words").alias("_n"), F.col("sha").alias("_sha"), F.col("copy").alias("_copy"), F.coalesce("copied", F.lit(True)).alias("_copied"), "_gone", F.col("longest").alias("_longest")))
     scratch.only(held, state)
