@@ -29,7 +29,7 @@ MOST_TOXIC, MOST_CLEAN = 800, 1600
 MOST_BYTES = 64 << 20
 #: Labelled texts that must hold a word for it to have a vector of its own; buckets of trigrams.
 LEAST_TEXTS, TRIGRAMS = 3, 1 << 14
-WORD_DIM, CHAR_DIM, HIDDEN, EPOCHS, BATCH = 6, 6, 8, 8, 128
+WORD_DIM, CHAR_DIM, HIDDEN, EPOCHS, BATCH = 8, 8, 16, 8, 128
 #: Steps of training to take at least, and the most epochs to take them in.
 STEPS, MOST_EPOCHS = 160, 40
 #: Windows that are read side by side when scoring: their states stay in a core's cache.
