@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -55,8 +56,7 @@ class Scratch:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        # Spark deletes the shuffle files of what is written now once the driver's JVM has collected its garbage
-        self.spark.sparkContext._jvm.System.gc()
+        self._collect_garbage()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         for old in replaces:
@@ -65,6 +65,12 @@ class Scratch:
                 fs.delete(p, True)
         return out
 
+    def _collect_garbage(self) -> None:
+        """Spark deletes shuffle files of what is written by now once the driver's JVM has collected the plans; the last plan is let go when its events are through."""
+        for pause in (0.3, 0.0):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
+
     def only(self, *needed: DataFrame) -> None:
         """Drops all tables but these, which are what a lazy result reads."""
         keep = {df._scratch_path for df in needed}
