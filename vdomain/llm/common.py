@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: the bytes 0x20 and 0x09-0x0D, which is also what bytes.split() takes.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Seconds that writing a table may take for its shuffle files to be left to the next collection of garbage.
+PROMPT = 2.0
+
 _dirs: dict[str, str] = {}
 _open: list["Scratch"] = []
 
@@ -55,8 +58,10 @@ class Scratch:
     def table(self, df: DataFrame, *replaces: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
+        start = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
-        self._collect_garbage()
+        if time.monotonic() - start > PROMPT:
+            self._collect_garbage()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         for old in replaces:
