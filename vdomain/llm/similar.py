@@ -28,8 +28,12 @@ SIGNATURE = -(-HASHES // 32) * 8
 DEVIATIONS = 5
 #: Rows of a band that are compared at once with as many others; larger bands are dealt out in blocks.
 BLOCK = 1024
+#: Rounds in which each node meets its likeliest partners only, and how many in each block: they join large groups before all that is left is compared.
+ROUNDS, NEAREST = 2, 2
 #: Pairs with one document that a task verifies, about.
 VERIFIED = 256
+#: Shingles that a task remembers while it verifies pairs.
+REMEMBERED = 4_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SALT = np.random.default_rng(23).integers(0, 1 << 64, (2, HASHES), np.uint64)
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,8 +156,8 @@ def leads(members: DataFrame, similarity: float) -> DataFrame:
     return own.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def apart(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): nodes of one band that may be similar and that (node, root) hasn't joined yet. Bands of one root give nothing."""
+def apart(members: DataFrame, roots: DataFrame, similarity: float, nearest: int | None = None) -> DataFrame:
+    """(a, b): nodes of one band that may be similar and that (node, root) hasn't joined yet; with `nearest` only so many for each node and block, the likeliest. Bands of one root give nothing."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -174,7 +178,12 @@ def apart(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                     k = p[at : at + 256]
                     small, large = np.minimum(size[k][:, None], size[q]), np.maximum(size[k][:, None], size[q])
                     a, b = np.nonzero((root[k][:, None] != root[q]) & (small >= similarity * large) & ((node[k][:, None] < node[q]) | ~same[lo]))
-                    ok = differing(sig[k[a]], sig[q[b]]) <= most
+                    far = differing(sig[k[a]], sig[q[b]])
+                    ok = np.flatnonzero(far <= most)
+                    if nearest is not None and len(ok):
+                        ok = ok[np.lexsort((far[ok], a[ok]))]
+                        first = np.flatnonzero(np.concatenate(([True], np.diff(a[ok]) > 0)))
+                        ok = ok[np.arange(len(ok)) - np.repeat(first, np.diff(np.append(first, len(ok)))) < nearest]
                     a, b = node[k[a[ok]]], node[q[b[ok]]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -196,13 +205,15 @@ def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, similarity:
     both = salted.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(firsts, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), OrderedDict()
+        hashes, held, size = WordHashes(), OrderedDict(), 0
 
         def of(key: int, text: bytes) -> np.ndarray:
+            nonlocal size
             if key not in held:
-                if len(held) >= 64:
-                    held.popitem(last=False)
                 held[key] = shingles(words_of(text), hashes)
+                size += len(held[key])
+                while size > REMEMBERED and len(held) > 2:
+                    size -= len(held.popitem(last=False)[1])
             return held[key]
 
         for b in pieces(batches):
