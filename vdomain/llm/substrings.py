@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, partitions, pieces, signed, texts_of
+from .common import Scratch, WordHashes, partitions, pieces, texts_of
 
 #: Bases of the two polynomials over words' hashes that make a run's 128 bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
