@@ -140,6 +140,22 @@ def test_hamming_top_k(spark, monkeypatch, n, most):
     assert got == want
 
 
+def test_hamming_keys_stay_off_the_driver(spark, monkeypatch):
+    """Few queries ask for millions of keys: neither these nor the masks in the plan may pass the driver."""
+    plans, table = [], hamming.Scratch.table
+
+    def spied(self, df, *replaces):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, *replaces)
+
+    monkeypatch.setattr(hamming.Scratch, "table", spied)
+    rows = [(k, int(c)) for k, c in enumerate(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 300))]
+    df = spark.createDataFrame(rows, "id long, code long")
+    assert hamming.top_k(df, df.where("id % 50 = 0"), 10).count() == 60
+    assert any("SortMergeJoin [seg" in p for p in plans)
+    assert not any("BroadcastHashJoin [seg" in p or "[1,2,4,8,16" in p for p in plans)
+
+
 def test_sign_code(spark):
     rows = [([1.0, -1.0, 0.0, None, 2.0],), (None,), ([],)]
     assert [r[0] for r in spark.createDataFrame(rows, "embedding array<double>").select(hamming.sign_code()).collect()] == [17, None, 0]

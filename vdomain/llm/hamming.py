@@ -9,9 +9,9 @@ when its kth verified distance is no more than that. Candidates farther than the
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
@@ -35,9 +35,9 @@ def segments_of(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def masks(width: int, least: int, most: int) -> list[int]:
-    """Values of `width` bits with `least` to `most` of them set."""
-    return [sum(1 << b for b in bits) for r in range(least, min(most, width) + 1) for bits in combinations(range(width), r)]
+def masks(spark: SparkSession, width: int, least: int, most: int) -> DataFrame:
+    """Values `mask` of `width` bits with `least` to `most` of them set: a table, as a plan that lists them would take the driver's memory."""
+    return spark.range(1 << width).where(F.bit_count("id").between(least, most)).select(F.col("id").alias("mask"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -67,12 +67,14 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 break
             # with all segments searched to r - 1 and the first t to r, all codes up to m * r + t - 1 have been met: a query searches as many as its kth distance asks for
             state = state.withColumn("t", F.greatest(F.lit(1), F.least(F.lit(m), F.col("bound") - m * r + 1)) if lo else F.lit(m))
-            probe = lambda s: F.transform(F.lit(masks(segments[s][1], lo, r)).cast("array<bigint>"), lambda x: F.struct(F.lit(s).alias("seg"), key("q", s).bitwiseXOR(x).alias("key")))  # noqa: B023, E731
-            none = F.array().cast("array<struct<seg:int,key:bigint>>")
-            asked = state.repartition(partitions(spark), "q").select("q", "bound", F.explode(F.concat(*(F.when(F.col("t") > s, probe(s)).otherwise(none) for s in range(m)))).alias("x")).select("q", "bound", "x.seg", "x.key")
+            segs = state.repartition(partitions(spark), "q").select("q", "bound", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("seg"))
+            own = lambda of: reduce(lambda rest, s: F.when(F.col("seg") == s, of(s)).otherwise(rest), range(m - 1), of(m - 1))
+            ring = F.broadcast(masks(spark, widest, lo, r))
+            asked = segs.withColumn("key", own(lambda s: key("q", s))).join(ring, F.col("mask") < own(lambda s: F.lit(1 << segments[s][1]))).select("q", "bound", "seg", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))  # noqa: B023
             distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-            met = asked.join(index, ["seg", "key"]).where(distance <= F.col("bound")).select("q", "code", distance.alias("distance")).distinct()
-            rows = met.join(held, "code").select("q", "distance", F.explode("ids").alias("x")).select("q", "distance", F.col("x.id").alias("id"))
+            # few queries ask for very many keys, which their estimated size doesn't show: no side of these joins goes through the driver
+            met = asked.hint("merge").join(index, ["seg", "key"]).where(distance <= F.col("bound")).select("q", "code", distance.alias("distance")).distinct()
+            rows = met.hint("merge").join(held, "code").select("q", "distance", F.explode("ids").alias("x")).select("q", "distance", F.col("x.id").alias("id"))
             if best is not None:
                 rows = rows.union(best.select("q", "distance", "id")).distinct()
             order = Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_last())
