@@ -50,6 +50,16 @@ def test_symmetric_loop_is_the_kernels(spark, n):
     assert [tuple(x) for x in got] == Symmetric(105, 117).fill(list(s))
 
 
+def test_kmers_of_queries_are_not_broadcast(spark):
+    """What is sent through the driver is the index of genes, not the queries' k-mers, though these come from a smaller table."""
+    queries = spark.createDataFrame([(1, "LVHWWKKD"), (2, "HHHHH")], "k int, sequence string").select("*").limit(2)
+    genes = spark.createDataFrame([(0, "LVHWWAAA"), (1, "KKDKKD"), (2, "LVHWWKKD")], "gene_index int, ungapped string")
+    top = germline.top_by_kmers(queries, genes, "k", 2)
+    assert sorted(map(tuple, top.collect())) == [(1, 0, 2, 2), (1, 2, 5, 1)]
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [kmer" in plan and "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
 def test_kmers_identity_and_ties(spark):
     df = spark.createDataFrame([("LVHWW", "AC-D", "A-CD")], "s string, q string, g string")
     r = df.select(germline.kmers("s").alias("k"), germline.identity("q", "g").alias("i"), germline.kmers(F.lit("AB")).alias("none")).first()

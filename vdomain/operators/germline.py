@@ -97,9 +97,15 @@ def kmers(sequence: str | Column, k: int = KMER) -> Column:
 
 
 def top_by_kmers(queries: DataFrame, genes: DataFrame, key: str, top: int = TOP) -> DataFrame:
-    """(key, gene_index, hits, rank): the genes that share most k-mers with each query, by count, then index; those that share none are left out."""
-    postings = genes.select("gene_index", F.explode(kmers("ungapped")).alias("kmer"))
-    hits = queries.select(key, F.explode(kmers("sequence")).alias("kmer")).join(postings, "kmer").groupBy(key, "gene_index").agg(F.count("*").alias("hits"))
+    """(key, gene_index, hits, rank): the genes that share most k-mers with each query, by count, then index; those that share none are left out.
+
+    The index has a row for each k-mer, 7^4 at most, and is sent to all executors; queries are dealt out by key before their k-mers are
+    taken apart, whose number their estimated size doesn't show, and stay there.
+    """
+    index = genes.select("gene_index", F.explode(kmers("ungapped")).alias("kmer")).groupBy("kmer").agg(F.collect_list("gene_index").alias("_genes"))
+    dealt = queries.select(key, F.col("sequence")).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    met = dealt.select(key, F.explode(kmers("sequence")).alias("kmer")).join(F.broadcast(index), "kmer").select(key, F.explode("_genes").alias("gene_index"))
+    hits = met.groupBy(key, "gene_index").agg(F.count("*").alias("hits"))
     w = Window.partitionBy(key).orderBy(F.col("hits").desc(), "gene_index")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
