@@ -46,6 +46,16 @@ def test_batched_scores_are_those_of_each_pair():
     assert sw.Targets(seqs).scores(q).tolist() == [sw.local_score(q, t) for t in seqs]
 
 
+def test_batched_alignments_are_those_of_each_pair():
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(0, 50)))
+    q = [word(sw.ALPHABET[: 2 + k % 19] + "X*"[: k % 3]) for k in range(300)]
+    t = [a[r.randint(0, 5) :] + word("ACDE") if k % 2 else word(sw.ALPHABET) for k, a in enumerate(q)]
+    scores, shares = sw.align(q, t)
+    assert list(zip(shares.tolist(), scores.tolist())) == [sw.local_identity(*p) for p in zip(q, t)]
+    assert sw.align(q, t, identity=False)[0].tolist() == scores.tolist() and sw.align([], [])[0].tolist() == []
+
+
 def test_substitution_scores():
     assert [sw.score(*p) for p in ("QQ", "AA", "WW", "CW", "wc", "WL", "YY")] == [5, 4, 11, -2, -2, -2, 7]
     assert (sw.MATRIX == sw.MATRIX.T).all()

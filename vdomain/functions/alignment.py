@@ -2,37 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from ..kernel.sw import Targets, local_identity
+from ..kernel.sw import align
 
 
-def _by_query(query: pa.Array, target: pa.Array, of: Callable[[str, list[str]], list]) -> list:
-    """What `of` gives for each distinct query and its targets, in the order of the rows; null where either is null."""
+def _aligned(query: pa.Array, target: pa.Array, identity: bool) -> list:
+    """What align() gives for each row, null where either is null."""
     q, t = query.to_pylist(), target.to_pylist()
-    rows: dict[str, list[int]] = {}
-    for k, (a, b) in enumerate(zip(q, t)):
-        if a is not None and b is not None:
-            rows.setdefault(a, []).append(k)
+    good = [k for k, (a, b) in enumerate(zip(q, t)) if a is not None and b is not None]
+    found = align([q[k] for k in good], [t[k] for k in good], identity)[int(identity)]
     out: list = [None] * len(q)
-    # one sweep aligns a query with all of its targets
-    for a, ks in rows.items():
-        for k, x in zip(ks, of(a, [t[k] for k in ks])):
-            out[k] = x
+    for k, x in zip(good, found.tolist()):
+        out[k] = x
     return out
 
 
 @F.arrow_udf(LongType())
 def sw_score(query: pa.Array, target: pa.Array) -> pa.Array:
     """Score of the best local alignment; null if either is null."""
-    return pa.array(_by_query(query, target, lambda q, ts: Targets(ts).scores(q).tolist()), pa.int64())
+    return pa.array(_aligned(query, target, False), pa.int64())
 
 
 @F.arrow_udf(DoubleType())
 def sw_identity(query: pa.Array, target: pa.Array) -> pa.Array:
     """Matches over columns of the best local alignment; null if either is null."""
-    return pa.array(_by_query(query, target, lambda q, ts: [float(local_identity(q, t)[0]) for t in ts]), pa.float64())
+    return pa.array(_aligned(query, target, True), pa.float64())

@@ -235,7 +235,8 @@ def kmer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, a, b, CAST(best.v AS BIGINT) AS score, CASE WHEN best.v > 0 THEN CAST(best.s AS DOUBLE) / best.c ELSE 0 END AS identity FROM d WHERE k = 1024""")
 def sw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's whole sequence against that of the part before it."""
-    p = read(spark, sf_dir, "part").select("p_partkey", residues("p_partkey").alias("a"), residues((F.col("p_partkey") - 1).cast("string")).alias("b"))
+    keys = read(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file is few tasks' work, but much of it
+    p = keys.select("p_partkey", residues("p_partkey").alias("a"), residues((F.col("p_partkey") - 1).cast("string")).alias("b"))
     return p.select("p_partkey", "a", "b", sw_score("a", "b").alias("score"), sw_identity("a", "b").alias("identity"))
 
 
