@@ -56,6 +56,20 @@ def test_batched_alignments_are_those_of_each_pair():
     assert sw.align(q, t, identity=False)[0].tolist() == scores.tolist() and sw.align([], [])[0].tolist() == []
 
 
+def test_genes_of_a_batch_are_aligned_together(monkeypatch):
+    """However many domains there are: scores and identities of V genes, then of J genes."""
+    table, calls = G.GeneTable(G.built_in()), []
+    monkeypatch.setattr(G, "align", lambda *a: calls.append(len(a[0])) or sw.align(*a))
+    states = [(k + 1, "m", k) for k in range(110)]
+    domains = [(states, VH[:k] + "A" + VH[k + 1 :], "H") for k in range(20, 40)]
+    together = table.assign_all(domains, "evalue")
+    assert len(calls) == 4
+    assert together == [G.GeneTable(G.built_in()).assign(*d, "evalue") for d in domains]
+    for g in together:
+        vq = G.split_v_j(*domains[together.index(g)][:2])[0]
+        assert g.v_identity == sw.local_identity(vq, next(x for x in G.built_in() if x.name == g.v_gene and x.segment == "V").ungapped)[0]
+
+
 def test_substitution_scores():
     assert [sw.score(*p) for p in ("QQ", "AA", "WW", "CW", "wc", "WL", "YY")] == [5, 4, 11, -2, -2, -2, 7]
     assert (sw.MATRIX == sw.MATRIX.T).all()

@@ -78,6 +78,7 @@ def annotate_batch(seqs: list[str], scan: Scan, table: GeneTable, lengths: dict[
     scheme, species, method = resolve_scheme(o.scheme), list(o.allowed_species or []), method_of(o.germline_method)
     todo = [k for k, s in enumerate(seqs) if len(s) >= o.min_length]
     out: list[dict] = [{"sequence": s, "domains": None, "hits": [], "reverted_species": False, "error": None} for s in seqs]
+    placed: list[tuple[dict, list, str, str]] = []  # domains, whose genes are looked up together
     for k, p in zip(todo, domains_of([seqs[k] for k in todo], scan, o.bit_score_threshold, lengths, species)):
         seq = seqs[k]
         out[k]["hits"] = [{"id": h.hit_id, "description": "", "evalue": h.evalue, "bitscore": h.bitscore, "bias": h.bias, "query_start": h.query_start, "query_end": h.query_end} for h in p.hits]
@@ -96,12 +97,16 @@ def annotate_batch(seqs: list[str], scan: Scan, table: GeneTable, lengths: dict[
                     raise
                 out[k]["error"] = out[k]["error"] or str(e)
                 continue
-            g: Germline = table.assign(states, seq, d.chain, method if o.assign_germline else "identity", species)
-            germ = {f: (float(v) if isinstance(v := getattr(g, f), float) else v) for f in Germline.__dataclass_fields__} if o.assign_germline else None
             domains.append(
-                {"id": d.hit_id, "species": g.v_species or d.species, "chain_type": d.chain, "evalue": d.evalue, "bitscore": d.bitscore, "bias": d.bias, "query_start": start, "query_end": end, "scheme": scheme,
-                 "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": germ, "covered": covered(states)})
+                {"id": d.hit_id, "species": d.species, "chain_type": d.chain, "evalue": d.evalue, "bitscore": d.bitscore, "bias": d.bias, "query_start": start, "query_end": end, "scheme": scheme,
+                 "state_vector": [{"id": i, "typ": t, "si": a} for i, t, a in states], "residues": [{"num": n, "ins": c, "aa": a} for n, c, a in residues], "start": first, "end": last, "germline": None, "covered": covered(states)})
+            placed.append((domains[-1], states, seq, d.chain))
         out[k]["domains"] = domains or None
+    found: list[Germline] = table.assign_all([x[1:] for x in placed], method if o.assign_germline else "identity", species)
+    for (domain, *_), g in zip(placed, found):
+        domain["species"] = g.v_species or domain["species"]
+        if o.assign_germline:
+            domain["germline"] = {f: (float(v) if isinstance(v := getattr(g, f), float) else v) for f in Germline.__dataclass_fields__}
     return out
 
 
