@@ -447,3 +447,21 @@ def test_toxicity_without_examples(spark, empty):
     assert toxicity.score_all(empty, lab).count() == 0
     one = spark.createDataFrame([(1, "alpha", "en", "s", 1)], SCHEMA)
     assert toxicity.score_all(one, lab).first().predicted == 0
+
+
+def test_substring_answers_are_written_before_documents_are_dealt_out(spark, monkeypatch):
+    """Each level's answers are a table of their own, so runs' shuffle files don't lie beside those of documents; no table of answers is left."""
+    written, table = [], substrings.Scratch.table
+
+    def spied(self, df, *replaces):
+        out = table(self, df, *replaces)
+        written.append((df.columns, out._scratch_path, [getattr(r, "_scratch_path", None) for r in replaces]))
+        return out
+
+    monkeypatch.setattr(substrings.Scratch, "table", spied)
+    text = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.longest_repeat) for r in substrings.digests(docs).collect()}
+    assert got == {1: (0, 40), 2: (50, 40), 3: (0, 0)}
+    answers = [path for columns, path, _ in written if columns == ["part", "number", "wins"]]
+    assert len(answers) >= 2 and all(any(a in replaced for _, _, replaced in written) for a in answers)

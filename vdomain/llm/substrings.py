@@ -142,14 +142,18 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns and not isinstance(columns[k], pa.Array) else columns.get(k, pa.nulls(n, t)) for k, t in _KINDS.items()], list(_KINDS))
 
 
-def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False, filters: bool = False) -> DataFrame:
-    """Rows that `each` makes of a level's documents with repeated runs, from the document, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`)."""
+def _answered(level: DataFrame, scratch: Scratch, each: Callable[[int, np.ndarray, list[np.ndarray]], tuple], schema: str, earliest: bool = False, filters: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows that `each` makes of a level's documents with repeated runs, from the document, marks and the blob's columns. Marks: 1 for a run that repeats, 2 if its part has its earliest place (asked for with `earliest`).
+
+    Also the table of answers, which they read. It is written first, so that the shuffle files of the runs are gone when documents are dealt out.
+    """
     run = Window.partitionBy("h1") if filters else Window.partitionBy("h1", "h2")
     place = F.struct("doc", "at")
     wins = F.min(place).over(run) == place if earliest else F.lit(False)
     elsewhere = F.min("c1").over(run) < F.max("c1").over(run) if filters else F.count("*").over(run) > 1
     asked = level.where("blob is null").select("part", "number", wins.alias("wins"), (F.max("twice").over(run) | elsewhere).alias("repeats"))
-    back = asked.where("repeats").select("part", "number", "wins", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("blob"))
+    answers = scratch.table(asked.where("repeats").select("part", "number", "wins"))
+    back = answers.select("part", "number", "wins", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("blob"))
     docs = level.where("blob is not null").select("part", F.lit(None).cast("long").alias("number"), F.lit(None).cast("boolean").alias("wins"), "doc", "blob")
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -181,7 +185,7 @@ def _answered(level: DataFrame, each: Callable[[int, np.ndarray, list[np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in map(list, zip(*out))], names)
 
     n = partitions(level.sparkSession)
-    return back.unionByName(docs).repartition(n, "part").sortWithinPartitions("part", F.col("doc").isNotNull(), "doc").mapInArrow(made, schema)
+    return back.unionByName(docs).repartition(n, "part").sortWithinPartitions("part", F.col("doc").isNotNull(), "doc").mapInArrow(made, schema), answers
 
 
 def _alive(doc: int, mark: np.ndarray, columns: list[np.ndarray]) -> tuple:
@@ -289,7 +293,8 @@ def _longest(settled: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     while True:
         level = scratch.table(_twice_as_long(survivors, words))
         words *= 2
-        survivors = scratch.table(_answered(level, _settled, "doc long, runs binary, gone binary"), level)
+        runs, answers = _answered(level, scratch, _settled, "doc long, runs binary, gone binary")
+        survivors = scratch.table(runs, level, answers)
         if survivors.isEmpty():
             return found.groupBy("doc").agg(F.max("longest").alias("longest"))
         found = found.union(survivors.select("doc", F.lit(words).cast("long")))
@@ -325,12 +330,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # exact copies: all but the first lose every word, if they hold a window at all
     ids = F.struct("no_id", "idz")
     first = rows.groupBy("c1", "c2").agg(F.min(F.struct("no_id", "idz", "rid")).alias("f"), (F.min(ids) != F.max(ids)).alias("copied")).select("c1", "c2", "f.no_id", "f.idz", F.col("f.rid").alias("first_rid"), "copied")
-    halves = _answered(survey.where("sha is null").select(*_KINDS), _alive, "doc long, alive binary", filters=True).withColumnRenamed("doc", "rid")
-    asked = halves.join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("no_id", "idz", "c1", "c2").agg(F.first("first_rid").alias("rid"), F.first("alive").alias("alive"))
+    halves, answers = _answered(survey.where("sha is null").select(*_KINDS), scratch, _alive, "doc long, alive binary", filters=True)
+    asked = halves.withColumnRenamed("doc", "rid").join(rows.select("rid", "c1", "c2"), "rid").join(first, ["c1", "c2"]).groupBy("no_id", "idz", "c1", "c2").agg(F.first("first_rid").alias("rid"), F.first("alive").alias("alive"))
     # documents are numbered in their order: by id, then by their words
-    asked = scratch.table(asked.orderBy("no_id", "idz", "c1", "c2").select("rid", "alive", F.monotonically_increasing_id().alias("doc")), survey)
+    asked = scratch.table(asked.orderBy("no_id", "idz", "c1", "c2").select("rid", "alive", F.monotonically_increasing_id().alias("doc")), survey, answers)
     level = scratch.table(_extended(texts.join(asked, "rid"), window))
-    settled = scratch.table(_answered(level, _settled, "doc long, runs binary, gone binary", earliest=True), level)
+    runs, answers = _answered(level, scratch, _settled, "doc long, runs binary, gone binary", earliest=True)
+    settled = scratch.table(runs, level, answers)
     found = settled.select("doc", F.col("gone").alias("_gone"))
     if longest:
         found = found.join(scratch.table(_longest(settled, window, scratch)), "doc", "left")
