@@ -231,3 +231,37 @@ def test_closest_gene_is_the_one_it_was_made_from():
     assert table.assign(states, seq, "H", "identity", ["alpaca"]).empty
     assert table.assign(states, seq, "Z", "identity") == G.Germline()
     assert G.canonical_j_lengths(G.built_in()) == {"H": 128, "K": 127, "L": 127, "A": 128, "B": 127, "G": 128, "D": 128}
+
+
+def _like(count):
+    """Heavy sequences of one length that begin and end alike, sorted."""
+    return sorted(VH[:96] + a + b + c + VH[99:] for a in "ACDEFGHK" for b in "LMNPQRST" for c in "VWYA")[:count]
+
+
+def test_what_sequences_begin_with_is_scored_once(scan):
+    seqs = _like(64)
+    first, rest = scan.scanner.tables(seqs[:32]), seqs[32:]
+    assert sum(len(s[0]) for s in first.steps) < 32 * len(VH) / 3
+    again = scan.scanner.tables(rest, before=first)
+    assert again.steps[50][0] is first.steps[50][0]  # the block after it takes over what it begins with
+    for tables, own in ((first, seqs[:32]), (again, rest)):
+        rows = [(r, m) for r in range(len(own)) for m in range(7)]
+        for (r, m), path in zip(rows, scan.scanner.paths(tables, rows)):
+            alone = scan.scanner.tables([own[r]], [m])
+            assert tables.bits[r, m] == alone.bits[0, 0] and path == scan.scanner.paths(alone, [(0, 0)])[0]
+    one = [scan.scanner.forward([s], np.array([0]))[0] for s in seqs]
+    assert np.allclose(scan.scanner.forward(seqs, np.zeros(64, int)), one, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("scheme", ["imgt", "chothia", "kabat", "martin", "aho", "wolfguy"])
+def test_domains_with_the_same_states_are_numbered_once(scan, scheme):
+    numberer = S.Numberer(scheme)
+    seqs = [*_like(40), VK, VK[:40] + "-" + VK[40:], VK.replace("A", "T"), VH[:60] + VH[64:]]
+    for s, p in zip(seqs, D.domains_of(seqs, scan, 80.0, {})):
+        for d, states in zip(p.domains, p.states):
+            got = numberer(states, s, d.chain)
+            residues, first, last = S.number(states, s, scheme, d.chain)
+            codes = [S.CODES[c] if c >= 0 else " " for c in got.codes.tolist()]
+            assert [(n, c, s[at] if at >= 0 else "-") for n, c, at in zip(got.numbers.tolist(), codes, got.residues.tolist())] == residues
+            assert (got.first, got.last, got.error) == (first, last, S.check_numbering(residues, s))
+    assert len(numberer.known) < 12

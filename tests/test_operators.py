@@ -210,3 +210,16 @@ def test_write(spark, tmp_path):
     E.write(a, str(tmp_path / "c"), "csv")
     assert spark.read.parquet(str(tmp_path / "d")).count() == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).where("aa <> '-'").count() == len(VH)
+
+
+def test_repeats_and_unwanted_fields(spark):
+    rows = [(k, VH if k % 3 else VK) for k in range(12)] + [(12, None)]
+    df = spark.createDataFrame(rows, "k int, sequence string")
+    full = {r.k: r for r in E.annotate(df).collect()}
+    got = {r.k: r for r in E.annotate(E.alike(df), E.AnnotateOptions(wanted=("chain_type", "residues")), distinct=False).collect()}
+    assert sorted(got) == sorted(full) == list(range(13)) and got[12].domains is None
+    for k in range(12):
+        (a,), (b,) = full[k].domains, got[k].domains
+        assert (a.chain_type, a.residues) == (b.chain_type, b.residues) and b.state_vector is None and got[k].hits == []
+    hits = {r.k: r for r in E.annotate(df, E.AnnotateOptions(wanted=("hits",))).collect()}
+    assert all(hits[k].hits == full[k].hits and hits[k].domains is None for k in range(13))

@@ -348,7 +348,7 @@ def made_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbered(scheme: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a = E.annotate(made_sequences(spark, sf_dir), E.AnnotateOptions(scheme=scheme))
+        a = E.annotate(E.alike(made_sequences(spark, sf_dir)), E.AnnotateOptions(scheme=scheme, wanted=("chain_type", "residues")), distinct=False)
         return a.select("o_orderkey", "chain", F.try_element_at("domains", F.lit(1)).alias("d"), "error").select("o_orderkey", "chain", F.col("d.chain_type").alias("found"), _shown("d.residues").alias("numbering"), "error")
 
     run.__name__ = f"number_{scheme}"
@@ -361,7 +361,7 @@ for _scheme in ("imgt", "chothia", "kabat", "martin", "aho", "wolfguy"):
 
 @query()
 def profile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.hit_rows(E.annotate(made_sequences(spark, sf_dir))).select("o_orderkey", "chain", "hit_ord", "id", "evalue", "bitscore", "query_start", "query_end")
+    return E.hit_rows(E.annotate(E.alike(made_sequences(spark, sf_dir)), E.AnnotateOptions(wanted=("hits",)), distinct=False)).select("o_orderkey", "chain", "hit_ord", "id", "evalue", "bitscore", "query_start", "query_end")
 
 
 @query()
@@ -383,7 +383,7 @@ def annotate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {oracle.numbered("kabat")}
 SELECT o_orderkey, chain, CASE WHEN error IS NULL THEN CASE WHEN chain = 'H' THEN 'H' ELSE 'L' END END AS chain_class, CAST(len(string_split(numbering, ' ')) AS INTEGER) AS n, error AS reason FROM numbered""")
 def number_first_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = E.number_first(made_sequences(spark, sf_dir), "kabat")
+    n = E.number_first(E.alike(made_sequences(spark, sf_dir)), "kabat", distinct=False)
     return n.select("o_orderkey", "chain", "chain_class", F.size("numbering").alias("n"), "reason")
 
 
@@ -393,7 +393,7 @@ def long_cdr3_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = made_sequences(spark, sf_dir).where("chain = 'H'")
     loop = F.substring(residues(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")), F.concat(F.col("o_orderkey").cast("string"), F.lit("y"))), 1, 60)
     made = h.select("o_orderkey", F.concat(F.substring("sequence", 1, 98), loop, F.lit("FDPWGQGTLVSVSS")).alias("sequence"))
-    a = E.annotate(made)
+    a = E.annotate(E.alike(made), E.AnnotateOptions(wanted=("query_end", "residues")), distinct=False)
     return a.select("o_orderkey", F.length("sequence").alias("length"), F.try_element_at("domains", F.lit(1)).alias("d")).select("o_orderkey", "length", "d.query_end", F.size("d.residues").alias("n"))
 
 
@@ -403,6 +403,6 @@ _AT = "CAST(sum(CAST(list_contains(string_split(numbering, ' '), '%s') AS INTEGE
 @query(f"""WITH {oracle.numbered("imgt")} SELECT chain AS chain_type, count(*) AS n, {_AT % ("23:C", "c23")}, {_AT % ("41:W", "w41")}, {_AT % ("104:C", "c104")} FROM numbered GROUP BY chain""")
 def anchor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the conserved residues C23, W41 and C104 stand in their columns, by chain."""
-    d = E.domain_rows(E.annotate(made_sequences(spark, sf_dir)))
+    d = E.domain_rows(E.annotate(E.alike(made_sequences(spark, sf_dir)), E.AnnotateOptions(wanted=("chain_type", "residues")), distinct=False))
     at = lambda n, aa: F.exists("residues", lambda r: (r["num"] == n) & (r["aa"] == aa)).cast("int")
     return d.groupBy("chain_type").agg(F.count("*").alias("n"), F.sum(at(23, "C")).alias("c23"), F.sum(at(41, "W")).alias("w41"), F.sum(at(104, "C")).alias("c104"))
