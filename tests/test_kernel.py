@@ -265,3 +265,13 @@ def test_domains_with_the_same_states_are_numbered_once(scan, scheme):
             assert [(n, c, s[at] if at >= 0 else "-") for n, c, at in zip(got.numbers.tolist(), codes, got.residues.tolist())] == residues
             assert (got.first, got.last, got.error) == (first, last, S.check_numbering(residues, s))
     assert len(numberer.known) < 12
+
+
+def test_models_that_cant_reach_the_threshold_are_given_up_where_sequences_part(scan):
+    seqs = _like(64)
+    every, some = scan.scanner.tables(seqs), scan.scanner.tables(seqs, look=60.0)
+    assert some.steps[-1][0].shape[1] < every.steps[-1][0].shape[1] == 7
+    high = every.bits >= 60
+    assert high.any() and (some.bits[high] == every.bits[high]).all() and (some.bits[~high] < 60).all()
+    rows = np.argwhere(high).tolist()
+    assert scan.scanner.paths(some, rows) == scan.scanner.paths(every, rows)
