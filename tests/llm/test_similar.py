@@ -79,3 +79,21 @@ def test_a_large_group_is_dealt_out(spark, monkeypatch):
     pairs, want = brute(rows)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[r[0]] for r in rows] == want
+
+
+def test_what_a_band_leaves_apart_gives_no_more_rows_than_it_has(spark, tmp_path):
+    """Documents that share much, but not 0.8: pairs grow with the square of their number, rows do not."""
+    rng = random.Random(8)
+    base = words(rng, 90)
+    docs = spark.createDataFrame([(k, edited(rng, base, 3), "en", "s", 1) for k in range(80)], SCHEMA).select(F.col("doc_id").alias("rid"), F.col("doc_id").alias("id"), "text")
+    scratch = similar.Scratch(spark, "test")
+    nodes = scratch.table(similar.sketched(docs).withColumn("node", F.col("rid")))
+    members = similar.banded(nodes, scratch)
+    roots = spark.createDataFrame([], "node long, root long")
+    maybe = similar.suspects(members, roots, 0.8)
+    assert 40 < maybe.count() < members.count()
+    groups = simhash.connected_components(maybe, scratch).select("node", F.col("root").alias("group"))
+    found = similar.joined(groups, roots, nodes, docs.select("rid", "text"), nodes.select("node", "rid"), 0.8, scratch)
+    rows = [(r.rid, r.text) for r in docs.collect()]
+    pairs, _ = brute(rows)
+    assert found.count() < 80 and {(r.b, r.a) for r in found.collect()} <= {(max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])) for i, j in pairs}

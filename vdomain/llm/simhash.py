@@ -177,8 +177,8 @@ def similar_groups(rows: DataFrame, texts: DataFrame, similarity: float, distanc
     """Rows of similar.sketched() to nodes (node, k1, k2, first: struct of no_id, id, rid) with root, one for each group that links join.
 
     Texts of the same words are one node. Links are fingerprints within `distance` bits and min-hash bands, both held against the texts:
-    first what the fingerprints join and each node's least and greatest likely partner, then its likeliest ones, which joins large groups by few
-    pairs; then whatever a band holds that these links have left apart.
+    first what the fingerprints join and each node's least and greatest likely partner; then what a band holds that these links have left apart is
+    gathered by groups that likely pairs hold together, and compared group by group.
     """
     distinct = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sig", "fp")))
     nodes = scratch.table(distinct.withColumn("node", F.monotonically_increasing_id()))
@@ -190,12 +190,11 @@ def similar_groups(rows: DataFrame, texts: DataFrame, similarity: float, distanc
     near_ = links(fps, scratch, distance).join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(*ordered("x", "y"))
     members = similar.banded(nodes, scratch)
     first = similar.verified(equal.union(near_).union(similar.leads(members, similarity)).where("a < b").distinct(), texts, places, similarity, scratch)
-    links_, roots = first, scratch.table(connected_components(first, scratch))
-    for nearest in [similar.NEAREST] * similar.ROUNDS + [None]:
-        found = similar.verified(similar.apart(members, roots, similarity, nearest), texts, places, similarity, scratch)
-        if not found.isEmpty():
-            links_ = links_.union(found)
-            roots = scratch.table(connected_components(links_, scratch))
+    roots = scratch.table(connected_components(first, scratch))
+    maybe = scratch.table(connected_components(similar.suspects(members, roots, similarity), scratch))
+    found = similar.joined(maybe.select("node", F.col("root").alias("group")), roots, nodes, texts, places, similarity, scratch)
+    if not found.isEmpty():
+        roots = scratch.table(connected_components(first.union(found), scratch))
     return nodes.select("node", "k1", "k2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

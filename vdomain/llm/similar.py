@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, partitions, pieces, signed, texts_of, whole_groups
+from .common import Scratch, WordHashes, partitions, pieces, signed, texts_of, union_pairs, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -28,8 +28,8 @@ SIGNATURE = -(-HASHES // 32) * 8
 DEVIATIONS = 5
 #: Rows of a band that are compared at once with as many others; larger bands are dealt out in blocks.
 BLOCK = 1024
-#: Rounds in which each node meets its likeliest partners only, and how many in each block: they join large groups before all that is left is compared.
-ROUNDS, NEAREST = 2, 2
+#: Shingles of a group that are compared in one task with as many others; larger groups are dealt out in blocks.
+SHINGLES = 1_000_000
 #: Pairs with one document that a task verifies, about.
 VERIFIED = 256
 #: Shingles that a task remembers while it verifies pairs.
@@ -156,42 +156,101 @@ def leads(members: DataFrame, similarity: float) -> DataFrame:
     return own.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def apart(members: DataFrame, roots: DataFrame, similarity: float, nearest: int | None = None) -> DataFrame:
-    """(a, b): nodes of one band that may be similar and that (node, root) hasn't joined yet; with `nearest` only so many for each node and block, the likeliest. Bands of one root give nothing."""
+def suspects(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a forest that holds together the nodes of one band that may be similar and that (node, root) hasn't joined yet. Bands of one root give nothing."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # block p meets block q for p <= q: a row goes to every pair that its block is in
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    dealt = rooted.join(mixed, "band").withColumn("blocks", blocks).withColumn("own", own).select("band", F.explode(pair).alias("p"), "own", "node", "root", "n", "sig").select("band", "p.i", "p.j", (F.col("own") == F.col("p.i")).alias("left"), "node", "root", "n", "sig")
+    dealt = _dealt(rooted.join(mixed, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "band", "node", "root", "n", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = most_differing(similarity)
         for t, starts in whole_groups(batches, "band", "i", "j", rows=20_000):
             node, root, size, left = (t.column(c).to_numpy() for c in ("node", "root", "n", "left"))
             sig, same = _signature_rows(t), t.column("i").to_numpy() == t.column("j").to_numpy()
+            forest = np.arange(t.num_rows)
             for lo, hi in zip(starts, starts[1:]):
                 x = np.arange(lo, hi)
                 p, q = (x, x) if same[lo] else (x[left[lo:hi]], x[~left[lo:hi]])
+                own = np.arange(hi - lo)
                 for at in range(0, len(p), 256):
                     k = p[at : at + 256]
                     small, large = np.minimum(size[k][:, None], size[q]), np.maximum(size[k][:, None], size[q])
-                    a, b = np.nonzero((root[k][:, None] != root[q]) & (small >= similarity * large) & ((node[k][:, None] < node[q]) | ~same[lo]))
-                    far = differing(sig[k[a]], sig[q[b]])
-                    ok = np.flatnonzero(far <= most)
-                    if nearest is not None and len(ok):
-                        ok = ok[np.lexsort((far[ok], a[ok]))]
-                        first = np.flatnonzero(np.concatenate(([True], np.diff(a[ok]) > 0)))
-                        ok = ok[np.arange(len(ok)) - np.repeat(first, np.diff(np.append(first, len(ok)))) < nearest]
-                    a, b = node[k[a[ok]]], node[q[b[ok]]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    a, b = np.nonzero((root[k][:, None] != root[q]) & (small >= similarity * large) & (own[k - lo][:, None] != own[q - lo]))
+                    ok = differing(sig[k[a]], sig[q[b]]) <= most
+                    union_pairs(own, k[a[ok]] - lo, q[b[ok]] - lo)
+                forest[lo:hi] = own + lo
+            held = np.flatnonzero(forest != np.arange(t.num_rows))
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array(node[held]), pa.array(node[forest[held]])], ["a", "b"])
 
     n = partitions(members.sparkSession)
     return dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _dealt(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of a key with `blocks`, and a copy for each pair of blocks (i, j) that their own block is in; left: it is the first."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # block p meets block q for p <= q: a row goes to every pair that its block is in
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    return rows.withColumn("own", own).select(key, F.explode(pair).alias("p"), "own", *columns).select(key, "p.i", "p.j", (F.col("own") == F.col("p.i")).alias("left"), *columns)
+
+
+def joined(groups: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, places: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): a forest of the pairs within groups (node, group) that are similar by their shingles, and that (node, root) hasn't joined yet.
+
+    A group is dealt out in blocks, and each pair of blocks is compared in one task, with its texts: rows out are fewer than rows in.
+    """
+    asked = groups.join(nodes.select("node", "n", "sig"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(places, "node")
+    own = scratch.table(texts.join(scratch.table(asked), "rid").select("node", "group", "root", "n", "sig", "text"))
+    blocks = own.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    dealt = _dealt(own.join(blocks, "group"), "group", "node", "root", "n", "sig", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, hashes = most_differing(similarity), WordHashes()
+        for t, starts in whole_groups(batches, "group", "i", "j", rows=1):
+            node, root, size, left = (t.column(c).to_numpy() for c in ("node", "root", "n", "left"))
+            sig, same, text = _signature_rows(t), t.column("i").to_numpy() == t.column("j").to_numpy(), t.column("text").combine_chunks()
+            for lo, hi in zip(starts.tolist(), starts[1:].tolist()):
+                words = texts_of(text.slice(lo, hi - lo))
+                sets: list[np.ndarray | None] = [None] * (hi - lo)
+                ids, label = np.unique(root[lo:hi], return_inverse=True)
+                parent = np.arange(len(ids))
+                x = np.arange(hi - lo)
+                p, q = (x, x) if same[lo] else (x[left[lo:hi]], x[~left[lo:hi]])
+                found: list[tuple[int, int]] = []
+
+                def of(k: int) -> np.ndarray:
+                    if sets[k] is None:  # noqa: B023
+                        sets[k] = shingles(words_of(words[k]), hashes)  # noqa: B023
+                    return sets[k]  # noqa: B023
+
+                n, s = size[lo:hi], sig[lo:hi]
+                for k in p.tolist():
+                    few = q[(parent[label[q]] != parent[label[k]]) & (np.minimum(n[q], n[k]) >= similarity * np.maximum(n[q], n[k]))]
+                    far = differing(s[few], s[k])
+                    few = few[far <= most][np.argsort(far[far <= most], kind="stable")]
+                    for at in range(0, len(few), 64):
+                        part = few[at : at + 64]
+                        part = part[parent[label[part]] != parent[label[k]]]
+                        if not len(part):
+                            continue
+                        mine, others = of(k), [of(z) for z in part.tolist()]
+                        sizes = np.array([len(z) for z in others])
+                        every = np.concatenate(others)
+                        place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                        common = np.add.reduceat(mine[place] == every, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                        for z in part[common >= similarity * (len(mine) + sizes - common) - 1e-9].tolist():
+                            if parent[label[z]] != parent[label[k]]:
+                                found.append((k, z))
+                                union_pairs(parent, label[[k]], label[[z]])
+                if found:
+                    a, b = node[lo:hi][np.array(found).T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    n = partitions(texts.sparkSession)
+    return scratch.table(dealt.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Those pairs (a, b) of nodes whose shingles have at least that Jaccard similarity. texts: rid, text; places: node, rid of a row with its text."""
     pairs = scratch.table(pairs)
