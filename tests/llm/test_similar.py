@@ -81,8 +81,9 @@ def test_a_large_group_is_dealt_out(spark, monkeypatch):
     assert [got[r[0]] for r in rows] == want
 
 
-def test_what_a_band_leaves_apart_gives_no_more_rows_than_it_has(spark, tmp_path):
+def test_what_a_band_leaves_apart_gives_no_more_rows_than_it_has(spark, monkeypatch):
     """Documents that share much, but not 0.8: pairs grow with the square of their number, rows do not."""
+    monkeypatch.setattr(similar, "GATHERED", 16)
     rng = random.Random(8)
     base = words(rng, 90)
     docs = spark.createDataFrame([(k, edited(rng, base, 3), "en", "s", 1) for k in range(80)], SCHEMA).select(F.col("doc_id").alias("rid"), F.col("doc_id").alias("id"), "text")

@@ -28,8 +28,8 @@ SIGNATURE = -(-HASHES // 32) * 8
 DEVIATIONS = 5
 #: Rows of a band that are compared at once with as many others; larger bands are dealt out in blocks.
 BLOCK = 1024
-#: Shingles of a group that are compared in one task with as many others; larger groups are dealt out in blocks.
-SHINGLES = 1_000_000
+#: Nodes of a group, and their shingles, that are compared in one task with as many others; larger groups are dealt out in blocks, with copies of their texts.
+GATHERED, SHINGLES = 16_384, 5_000_000
 #: Pairs with one document that a task verifies, about.
 VERIFIED = 256
 #: Shingles that a task remembers while it verifies pairs.
@@ -200,9 +200,11 @@ def joined(groups: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFra
 
     A group is dealt out in blocks, and each pair of blocks is compared in one task, with its texts: rows out are fewer than rows in.
     """
-    asked = groups.join(nodes.select("node", "n", "sig"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(places, "node")
-    own = scratch.table(texts.join(scratch.table(asked), "rid").select("node", "group", "root", "n", "sig", "text"))
-    blocks = own.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    # few columns of those asked for, so that Spark may send them to the texts rather than deal out all texts
+    asked = scratch.table(groups.join(places, "node").select("node", "rid"))
+    known = groups.join(nodes.select("node", "n", "sig"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = scratch.table(texts.join(asked, "rid").select("node", "text").join(known, "node").select("node", "group", "root", "n", "sig", "text"))
+    blocks = own.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / GATHERED, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     dealt = _dealt(own.join(blocks, "group"), "group", "node", "root", "n", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
