@@ -1,4 +1,7 @@
 import os
+import re
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,49 @@ def test_a_stage_drops_what_its_predecessors_left(spark, tmp_path):
     assert not os.path.exists(s.base) and not os.path.exists(t.base)
 
 
+def anonymous_mb(pid):
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+@pytest.mark.parametrize("how", ["long write", "stage"])
+def test_freed_memory_of_the_driver_goes_back_to_the_system(spark, monkeypatch, tmp_path, how):
+    jvm = spark.sparkContext._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid = field.get(None), int(jvm.java.lang.ProcessHandle.current().pid())
+    chunks = [unsafe.allocateMemory(60_000) for _ in range(3000)]
+    for c in chunks:
+        unsafe.setMemory(c, 60_000, 1)
+    held = [c for k, c in enumerate(chunks) if k % 50 == 0 or k == len(chunks) - 1]  # so that none of the rest goes by itself
+    for c in set(chunks) - set(held):
+        unsafe.freeMemory(c)
+    before = anonymous_mb(pid)
+    if how == "stage":
+        with common.stage(spark.range(1)):
+            pass
+    else:
+        monkeypatch.setattr(common, "PROMPT", -1.0)
+        s = common.Scratch(spark, "t")
+        s.table(spark.range(3))
+        s.drop()
+    after = anonymous_mb(pid)
+    for c in held:
+        unsafe.freeMemory(c)
+    assert after < before - 100
+
+
+def test_trimming_is_left_out_where_it_is_not_offered(spark, monkeypatch):
+    class C:
+        def __init__(self, name):
+            pass
+
+    monkeypatch.setattr(common.ctypes, "CDLL", C)
+    real = spark.sparkContext._gateway.new_array
+    monkeypatch.setattr(spark.sparkContext._gateway, "new_array", lambda kind, n: real(kind, 1 + n))  # the JVM refuses five arguments
+    common.trim(spark)
+
+
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     class Context:
         master, applicationId = "spark://host:7077", "x"

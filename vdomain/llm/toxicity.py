@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, texts_of
+from .common import pieces, texts_of, trim
 
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 32
@@ -403,7 +403,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     for r in sizes.where(F.col("bytes") <= most_bytes).orderBy(*order).select("text", "toxic").toLocalIterator():
         texts.append((r.text or "").encode())
         ys.append(r.toxic)
-    return fit(texts, np.array(ys))
+    network = fit(texts, np.array(ys))
+    trim(docs.sparkSession)  # of what training has freed, before all texts are scored
+    return network
 
 
 def scored(docs: DataFrame, network: Network, text: str = "text", column: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
