@@ -89,7 +89,10 @@ class Network:
 
     def projections(self, x: np.ndarray) -> np.ndarray:
         """Input projections by direction of words' vectors, gates halved."""
-        return (np.matmul(x[None].astype(np.float32), self.p["W"]) + self.p["b"][:, None]) * self.halves
+        out = np.matmul(x[None].astype(np.float32), self.p["W"])  # in training 80 MB and more, so there is one of it
+        out += self.p["b"][:, None]
+        out *= self.halves
+        return out
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         """Rows of the two tables of input projections, gates halved; row 0 is padding."""
