@@ -275,3 +275,21 @@ def test_models_that_cant_reach_the_threshold_are_given_up_where_sequences_part(
     assert high.any() and (some.bits[high] == every.bits[high]).all() and (some.bits[~high] < 60).all()
     rows = np.argwhere(high).tolist()
     assert scan.scanner.paths(some, rows) == scan.scanner.paths(every, rows)
+
+
+def test_deletes_are_summed_along_the_nodes(scan):
+    """As the table of all ways from a match to a delete has them."""
+    s, seqs, m = scan.scanner, [*_like(64), VK, LYSOZYME, "W", VH + VK], np.zeros(68, int)
+    assert s.summed.all()
+    s.summed = ~s.summed
+    try:
+        ways = s.forward(seqs, m)
+    finally:
+        s.summed = ~s.summed
+    assert np.allclose(s.forward(seqs, m), ways, rtol=0, atol=1e-9)
+
+
+def test_tables_of_a_scan_hold_nodes_in_one_piece(scan):
+    """A step to the next node is a slice that lies in one piece."""
+    step = scan.scanner.tables(_like(32)).steps[-1]
+    assert all(a.shape[0] == 32 and a.shape[2] == 129 and a.T[1:].flags.c_contiguous for a in step[:3])
