@@ -48,3 +48,10 @@ def test_whole_sequences_are_aligned(spark, sf):
     assert len(rows) == 200 and all(len(r.a) == len(r.b) == 32 for r in rows) and len({r.b for r in rows}) == 200
     for r in rows[:50]:
         assert r.score == local_score(r.a, r.b) and r.identity == local_identity(r.a, r.b)[0]
+
+
+@pytest.mark.parametrize("name", ["annotate_end_to_end", "annotate_calls"])
+def test_like_sequences_are_annotated_together(spark, sf, name):
+    """Rows are dealt out by ranges of their sequences and pass through the scan, so nothing is joined back."""
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(length(sequence" in plan and "SortMergeJoin" not in plan

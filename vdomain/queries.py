@@ -366,7 +366,8 @@ def profile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def annotate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = E.annotate(made_sequences(spark, sf_dir), E.AnnotateOptions(assign_germline=True, regions=True))
+    o = E.AnnotateOptions(assign_germline=True, regions=True, wanted=("chain_type", "species", "bitscore", "germline", "covered"))
+    a = E.annotate(E.alike(made_sequences(spark, sf_dir)), o, distinct=False)
     return E.domain_rows(a).select("o_orderkey", "chain", "chain_type", "species", "bitscore", "germline.v_gene", "germline.v_identity", "germline.j_gene", F.col("covered.lo").alias("covered_lo"), F.col("covered.hi").alias("covered_hi"), F.col("regions")["cdr3"].alias("cdr3"))
 
 
