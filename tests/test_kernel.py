@@ -293,3 +293,23 @@ def test_tables_of_a_scan_hold_nodes_in_one_piece(scan):
     """A step to the next node is a slice that lies in one piece."""
     step = scan.scanner.tables(_like(32)).steps[-1]
     assert all(a.shape[0] == 32 and a.shape[2] == 129 and a.T[1:].flags.c_contiguous for a in step[:3])
+
+
+def test_only_likely_genes_are_aligned(monkeypatch):
+    """Genes that can't have the best score, going by the gene that the query begins like, are left out; the closest one stays the same."""
+    pairs, rnd = [], random.Random(5)
+    table = G.GeneTable(G.built_in())
+    monkeypatch.setattr(G, "align", lambda *a: pairs.append((len(a[0]), *a[2:])) or sw.align(*a))
+    queries = []
+    for g in (g for g in G.built_in() if g.segment == "V"):
+        for changes in (0, 2, 2, 12, 60):
+            q = list(g.ungapped[: len(g.ungapped) - 4])
+            for k in rnd.sample(range(len(q)), changes):
+                q[k] = rnd.choice(TWENTY)
+            queries.append((g.chain, "".join(q) + ("AAAAAAA" if changes == 12 else ""), table.species("V", g.chain)))
+    found = table._by_evalue("V", queries)
+    every = [[g for g in table.by["V", c] if g.species in species] for c, _, species in queries]
+    assert pairs[0][0] < sum(map(len, every)) * 2 / 3
+    for (_, q, _), gs, (best, share, _) in zip(queries, every, found):
+        assert best == min(gs, key=lambda g: (-sw.local_score(q, g.ungapped), g.species, g.name))
+        assert share == sw.local_identity(q, best.ungapped)[0]
